@@ -32,20 +32,22 @@ SEED = 42
 POINTS_A_SHARD, SAMPLE_A_SHARD, LEAST_SHARDS = 1_000_000, 128, 32
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """64 bits as a signed integer: a bit is 1 if set in over half of the shingles' hashes."""
+def shingle_digests(text: bytes, width: int) -> list[bytes]:
+    """Big-endian XXH64 digests of a text's shingles, repeats included; fewer words: the whole sequence; none: none."""
     words = text.lower().split()  # bytes: A-Z and ASCII white space only
     n = len(words)
     if not n:
-        return 0
-    hashed = xxhash.xxh64_digest
+        return []
+    hashed, joined = xxhash.xxh64_digest, b" ".join(words)
     if n < width:
-        digests = [hashed(b" ".join(words), SEED)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=n) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digests = [hashed(joined[a:b], SEED) for a, b in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist())]
+        return [hashed(joined, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return [hashed(joined[a:b], SEED) for a, b in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist())]
+
+
+def majority(digests: list[bytes]) -> int:
+    """64 bits as a signed integer: a bit is 1 if set in over half of the digests."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(digests), 1 << 16):
         part = digests[at : at + (1 << 16)]
@@ -54,6 +56,10 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(digests)).view(">u8")[0].astype(np.uint64).astype(np.int64))
 
 
+def fingerprint(text: bytes, width: int = 3) -> int:
+    return majority(shingle_digests(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept long columns and fp long."""
     def make():
@@ -239,25 +245,101 @@ def components(docs: DataFrame, width: int = 3, k: int = 2) -> DataFrame:
     return fps.join(of, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, k: int = 3) -> DataFrame:
-    """docs with one row of each component: its least doc_id, the least (text hash, length) among repeats of that id.
+#: Min-wise sketches: BANDS bands of ROWS of the MINIMA minima are keys; all of them estimate the similarity.
+MINIMA, BANDS, ROWS = 128, 16, 5
+_rng = np.random.default_rng(20)
+_FACTORS = _rng.integers(0, 1 << 63, size=MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TERMS = _rng.integers(0, 1 << 63, size=MINIMA, dtype=np.uint64)
+
+
+def minima(digests: list[bytes]) -> np.ndarray:
+    """The upper halves of the least value of each of MINIMA hash functions over a text's shingles."""
+    least = np.full(MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(digests), 2048):
+        h = np.frombuffer(b"".join(digests[at : at + 2048]), dtype=">u8").astype(np.uint64)
+        np.minimum(least, (h[:, None] * _FACTORS + _TERMS).min(axis=0), out=least)
+    return (least >> np.uint64(32)).astype(np.uint32)
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, th (text hash), fp, minima (binary) and bands of every row."""
+
+    def make():
+        def f(ids, hashes, texts):
+            fps, all_minima, bands = [], [], []
+            for t in texts:
+                digests = shingle_digests(t, width)
+                m = minima(digests)
+                fps.append(majority(digests))
+                all_minima.append(m.tobytes())
+                cut = m[: BANDS * ROWS].tobytes()
+                step = 4 * ROWS
+                keys = [xxhash.xxh64_intdigest(cut[i * step : (i + 1) * step], i) for i in range(BANDS)]
+                bands.append(np.array(keys, dtype=np.uint64).view(np.int64).tolist())
+            return [ids, hashes, fps, all_minima, bands]
+
+        return f
+
+    schema = "doc_id long, th long, fp long, minima binary, bands array<long>"
+    return map_texts(docs, ["doc_id", "th", "text"], schema, make)
+
+
+def _candidates(sketched: DataFrame, k: int) -> DataFrame:
+    """Distinct pairs (a, b) of text hashes, a < b: fingerprints linked by the trees, and least and greatest of a band's key."""
+    by_fp = sketched.groupBy("fp").agg(F.min("th").alias("lo"), F.max("th").alias("hi"))
+    points = written(by_fp, "points")
+    tree = written(linked_points(points.select("fp"), k), "edges")
+    root = points.select(F.col("fp").alias("root"), F.col("lo").alias("root_lo"))
+    linked = tree.join(points, "fp").join(root, "root").select(F.col("lo").alias("a"), F.col("root_lo").alias("b"))
+    same = sketched.select("fp", "th").distinct().join(points.where("lo < hi"), "fp").select(F.col("th").alias("a"), F.col("lo").alias("b"))
+    keyed = written(sketched.select("th", F.explode("bands").alias("key")).distinct(), "bands")
+    shared = written(
+        keyed.groupBy("key").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo < hi"), "buckets"
+    )
+    met = keyed.join(shared, "key")
+    pairs = linked.union(same).union(met.select("th", "lo")).union(met.select("th", "hi")).where("a != b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar_pairs(sketched: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(fp, root): candidates whose share of equal minima is similarity or more; the names are those of edges."""
+    pairs = written(_candidates(sketched, k), "pairs")
+    nodes = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
+    one = written(sketched.select("th", "minima").join(nodes, "th", "left_semi").dropDuplicates(["th"]), "minima")
+    sides = pairs.join(one.select(F.col("th").alias("a"), F.col("minima").alias("x")), "a").join(
+        one.select(F.col("th").alias("b"), F.col("minima").alias("y")), "b"
+    )
+
+    def alike(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(-1, MINIMA) for c in "xy")
+            keep = pa.array((x == y).mean(axis=1) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "ab"], names=["fp", "root"])
+
+    return sides.select("a", "b", "x", "y").mapInArrow(alike, "fp long, root long")
+
 
-    Rows without doc_id count as after all others and keep one row a component too.
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, k: int = 3) -> DataFrame:
+    """docs with one row of each group of near copies: its least doc_id, the least text hash among repeats of that id.
+
+    Texts of similarity 0.8 differ in up to 14 of 64 bits, where random texts differ in 32 +- 4: at that radius no
+    triangle bound prunes, and the trees alone would compare all pairs.  So the trees link what is within k bits, banded min-wise keys
+    add the pairs down to the similarity, and the share of equal minima (128: standard error 0.035 at 0.8) decides every pair.
+    Rows without doc_id count as after all others and keep one row a group too.
     """
     last = F.lit((1 << 63) - 1)
-    keyed = docs.select(F.coalesce("doc_id", last).alias("doc_id"), "text", text_hash(F.col("text")).alias("_th"))
-    fps = written(fingerprints(keyed, width, ("doc_id", "_th")), "fingerprints")
-    of = written(classes(fps, k), "classes")
-    keep = (
-        fps.join(of, "fp")
-        .where(F.col("doc_id") == F.col("component_id"))
-        .groupBy(F.col("component_id").alias("_keep"))
-        .agg(F.min("_th").alias("_keep_th"))
-    )
+    keyed = docs.select(F.coalesce("doc_id", last).alias("doc_id"), "text", text_hash(F.col("text")).alias("th"))
+    sketched = written(sketches(keyed, width), "sketches")
+    labels = propagate(written(similar_pairs(sketched, k, similarity), "edges"))
+    texts = written(sketched.groupBy("th").agg(F.min("doc_id").alias("least")), "texts")
+    named = texts.join(labels, texts.th == labels.node, "left").select("th", "least", F.coalesce("label", "th").alias("label"))
+    own = named.groupBy("label").agg(F.min("least").alias("_keep"))
+    of_text = written(named.select("th", "label").join(own, "label").select("th", "_keep"), "classes")
+    rows = sketched.select("doc_id", "th").join(of_text, "th").where(F.col("doc_id") == F.col("_keep"))
+    keep = rows.groupBy("_keep").agg(F.min("th").alias("_keep_th"))
     full = docs.withColumn("_id", F.coalesce("doc_id", last)).withColumn("_th", text_hash(F.col("text")))
     kept = full.join(keep, (F.col("_id") == F.col("_keep")) & (F.col("_th") == F.col("_keep_th")), "left_semi")
-    once = kept.dropDuplicates(["_id", "_th"])
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.dropDuplicates(["_id", "_th"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5(docs: DataFrame) -> DataFrame:
