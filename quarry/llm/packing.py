@@ -15,6 +15,7 @@ length are whole; an empty table gives an empty result; extra columns are ignore
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import insort
 from collections.abc import Iterator
@@ -30,43 +31,74 @@ END_ID = 2
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
+def _byte_letters() -> list[str]:
+    """The character by which a byte-level vocabulary writes each byte: printable ones stand for themselves."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+_BYTES = _byte_letters()
+
+
 class Encoder:
     """Ids of a text as little-endian 32-bit bytes, with a bounded cache of blank-separated chunks.
 
-    The tokenizer drops white space before it forms tokens, so no token crosses a blank or newline
-    and a text's ids are its chunks' ids in order.
+    The tokenizer lower-cases and drops white space before it forms tokens, so no token crosses a blank or newline,
+    and a text's ids are its lower-cased chunks' ids in order.  A chunk of letters alone is one word to it and goes
+    straight to its merges; so does one with a point or comma at its end.  All else takes the tokenizer's full path, and
+    so do whole texts that may hold the name of a special token, in which case matters.
     """
 
-    def __init__(self, tokenizer_path: str, cache_chunks: int = 300_000):
+    def __init__(self, tokenizer_path: str, cache_chunks: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.cache: dict[str, bytes] = {"": b""}
+        self.merges = self.tokenizer.model
+        self.cache: dict[bytes, bytes] = {b"": b""}
         self.most = cache_chunks
+        self.tails = {t: self.full([t.decode()])[0] for t in (b".", b",")}
+
+    def full(self, texts: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
+
+    def word(self, chunk: bytes) -> bytes | None:
+        """The ids of a word of letters, None for what isn't one."""
+        if chunk.isalpha():  # ASCII
+            text = chunk.decode()
+        else:
+            text = chunk.decode()
+            if not text.isalpha() or text != text.lower() or not unicodedata.is_normalized("NFC", text):
+                return None
+            text = "".join([_BYTES[b] for b in chunk])
+        return np.array([t.id for t in self.merges.tokenize(text)], dtype="<u4").tobytes()
+
+    def learn(self, missing: list[bytes]) -> None:
+        rest = []
+        for chunk in missing:
+            tail = self.tails.get(chunk[-1:])
+            got = self.word(chunk) if tail is None else self.word(chunk[:-1]) if len(chunk) > 1 else None
+            if got is None:
+                rest.append(chunk)
+            else:
+                self.cache[chunk] = got if tail is None else got + tail
+        if rest:
+            self.cache.update(zip(rest, self.full([c.decode() for c in rest])))
 
-    def chunks(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
-
-    def learn(self, missing: list[str]) -> None:
-        if len(self.cache) + len(missing) > self.most:
-            self.cache = {"": b""}
-        got = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        self.cache.update((k, np.array(e.ids, dtype="<u4").tobytes()) for k, e in zip(missing, got))
-
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
+    def batch(self, texts: list[bytes]) -> Iterator[bytes]:
         """A few hundred texts' chunks are looked up together, so that unseen ones are encoded in one call."""
         for at in range(0, len(texts), 200):
-            split = [self.chunks(t) for t in texts[at : at + 200]]
-            seen = set()
-            for s in split:
-                seen.update(s)
+            part = texts[at : at + 200]
+            split = [t.lower().replace(b"\n", b" ").split(b" ") for t in part]
+            seen = set().union(*split)
+            if len(self.cache) + len(seen) > self.most:
+                self.cache = {b"": b""}
             if missing := [c for c in seen if c not in self.cache]:
                 self.learn(missing)
-                if len(missing) < len(seen) and any(c not in self.cache for c in seen):
-                    self.learn([c for c in seen if c not in self.cache])
             get = self.cache.__getitem__
-            for s in split:
-                yield b"".join(map(get, s))
+            for text, chunks in zip(part, split):
+                yield self.full([text.decode()])[0] if b"<|" in text else b"".join(map(get, chunks))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -87,7 +119,7 @@ def cut(docs: DataFrame, tokenizer_path: str, max_len: int, end_id: int = END_ID
 
         def f(doc_ids, texts):
             ids, starts, lengths, crcs, totals = out = ([], [], [], [], [])
-            for doc_id, got in zip(doc_ids, enc.batch([t.decode() for t in texts])):
+            for doc_id, got in zip(doc_ids, enc.batch(texts)):
                 got += end
                 n = len(got) // 4
                 for start in range(0, n, max_len):
