@@ -13,6 +13,8 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,6 +130,13 @@ def normalised(text: Column) -> Column:
     return F.concat(F.lit(" "), F.btrim(one), F.lit(" "))
 
 
+def with_words(docs: DataFrame) -> DataFrame:
+    """doc_id, _th and s, the normalised text.  The generator keeps the optimizer from repeating s in each expression that uses it."""
+    return docs.select("doc_id", text_hash(F.col("text")).alias("_th"), "text").select(
+        "doc_id", "_th", F.explode(F.array(normalised(F.col("text")))).alias("s")
+    )
+
+
 def n_words(norm: Column) -> Column:
     blanks = F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit("")))
     return F.when(norm == "  ", F.lit(0)).otherwise(blanks - 1).cast("long")
@@ -142,10 +151,13 @@ def detections(docs: DataFrame) -> DataFrame:
     every = rules()
     cues = list(dict.fromkeys(r["cue"] for r in every))
     kws = list(dict.fromkeys(r["kw"] for r in every))
-    table = F.array(*[F.struct(*[F.lit(r[k]).alias(k) for k in ("label", "cue", "kw", "regex", "confidence", "base", "prio")]) for r in every])
-    held = docs.select("doc_id", text_hash(F.col("text")).alias("_th"), normalised(F.col("text")).alias("s"))
-    held = held.withColumn("cues", F.filter(_literals(cues), lambda c: F.contains(F.col("s"), c))).where(F.size("cues") > 0)
-    held = held.withColumn("kws", F.filter(_literals(kws), lambda c: F.contains(F.col("s"), c))).where(F.size("kws") > 0)
+    kind = "array<struct<label:string,cue:string,kw:string,regex:string,confidence:double,base:boolean,prio:int>>"
+    table = F.from_json(F.lit(json.dumps(every)), kind)  # folded into one literal
+    # Cues and keywords are plain words and blanks, so they make a regular expression as they are.
+    held = with_words(docs).where(F.col("s").rlike("|".join(cues)))
+    holds = lambda values: F.filter(_literals(values), lambda c: F.contains(F.col("s"), c))
+    held = held.select("doc_id", "_th", "s", F.explode(F.array(F.struct(holds(cues).alias("cues"), holds(kws).alias("kws")))).alias("x"))
+    held = held.select("doc_id", "_th", "s", "x.cues", "x.kws")
     fits = lambda r: (
         F.array_contains(F.col("cues"), r["cue"]) & F.array_contains(F.col("kws"), r["kw"]) & F.rlike(F.col("s"), r["regex"])
     )
@@ -197,9 +209,7 @@ def scanned(docs: DataFrame) -> DataFrame:
         )
         .withColumnsRenamed({"doc_id": "_id", "_th": "_t"})
     )
-    rows = docs.select(
-        "doc_id", text_hash(F.col("text")).alias("_th"), n_words(normalised(F.col("text"))).alias("n_words")
-    )
+    rows = with_words(docs).select("doc_id", "_th", n_words(F.col("s")).alias("n_words"))
     return rows.join(labels, rows["doc_id"].eqNullSafe(labels["_id"]) & (rows["_th"] == labels["_t"]), "left").drop("_id", "_t", "_th")
 
 
