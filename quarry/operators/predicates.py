@@ -89,7 +89,7 @@ def _any(frame: Frame, steps: tuple[Step, ...], test: Test) -> Column:
         sub, fk, key = frame.children(prefix, steps[0])
         passed = _any(sub, steps[1:], test) if steps[1:] else F.lit(True)
         rows = sub.df.where(passed).select(quoted(fk).alias("__fk"))
-        return rows.where(F.col("__fk") == quoted(key).outer()).exists()
+        return rows.where(F.col("__fk") == frame.unique(key).outer()).exists()
     if not steps:
         raise E.LogicError(E.INVALID_FIELD)
     return _any_value(quoted(name_of(prefix, steps[0].name)), steps, test)

@@ -63,6 +63,12 @@ class Frame:
         coll = self.joined[prefix].colls[step.name]
         return Frame(self.catalog, step.entity), coll.fk, name_of(prefix, coll.pk)
 
+    def unique(self, name: str) -> Column:
+        """A column under a name that no other frame has: inside EXISTS, a name the collection has too would mean its own."""
+        alias = f"__k{next(_count)}"
+        self.df = self.df.withColumn(alias, quoted(name))
+        return F.col(alias)
+
     def attach(self, right: DataFrame, fk: str, key: str, value: str) -> Column:
         """Left-joins (fk, value), unique in fk; the value's column."""
         fk_name, out = f"__fk{next(_count)}", f"__v{next(_count)}"

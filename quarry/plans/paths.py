@@ -65,7 +65,7 @@ def _walk(catalog: Catalog, entity: Entity, parts: list[str]) -> Path:
     for part in parts:
         step = None
         if isinstance(at, Entity):
-            name = CACHE.get(Store.TypeProperties, at.name, at.members).get(part.lower())
+            name = CACHE.get(Store.TypeProperties, at.uid, at.members).get(part.lower())
             if name in at.df.columns:
                 step = _value_step(name, at.df.schema[name].dataType, name in at.required)
             elif name in at.refs:
@@ -91,5 +91,5 @@ def resolve(catalog: Catalog, entity: Entity, path: str | None) -> Path:
     parts = [p.strip() for p in path.split(".") if p.strip()]
     if not parts:
         raise E.LogicError(E.INVALID_FIELD)
-    key = (id(catalog), id(entity.df), entity.name, ".".join(parts).lower())
+    key = (catalog.uid, entity.uid, ".".join(parts).lower())
     return CACHE.get(Store.PropertyPath, key, lambda: _walk(catalog, entity, parts))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_uids = itertools.count()
+
+
 @dataclass(frozen=True)
 class Ref:
     """Many to one: this entity's column fk holds the target's column pk."""
@@ -39,6 +43,8 @@ class Entity:
     required: frozenset[str] = frozenset()
     #: Values of a missing parent's members where they differ from the type's default.
     defaults: dict[str, object] = field(default_factory=dict)
+    #: Names this object in metadata caches.
+    uid: int = field(default_factory=_uids.__next__, init=False)
 
     def members(self) -> dict[str, str]:
         """Names as declared by their lower case; columns hide navigations of the same name."""
@@ -51,6 +57,7 @@ class Catalog:
 
     def __init__(self, entities: Iterable[Entity] = ()):
         self._by_name: dict[str, Entity] = {}
+        self.uid = next(_uids)
         for e in entities:
             self.add(e)
 
