@@ -120,7 +120,7 @@ def fit_counts(texts: list[tuple[str, str]]) -> Model:
                 for k in range(len(marked) - size + 1):
                     found[marked[k : k + size]] += n
     known, parts = _log_rows(count, MIN_COUNT), _log_rows(grams, MIN_COUNT)
-    scores = np.array([*known.values(), *parts.values()]).reshape(-1, len(langs))
+    scores = np.array([*known.values(), *parts.values()]).reshape(len(known) + len(parts), len(langs))
     return Model(langs, {w: i for i, w in enumerate(known)}, {g: i + len(known) for i, g in enumerate(parts)}, scores)
 
 

@@ -137,12 +137,15 @@ def disguised(token: str) -> bool:
 
 
 def raw_tokens(text: str) -> list[str]:
-    """Lower-cased blank-separated tokens; three or more single characters in a row come as one."""
+    """Lower-cased blank-separated tokens; three or more single characters in a row come as one.
+
+    A word of one letter may stand next to a spaced-out word, so such a run also comes without its first or last."""
     out, run = [], []
 
     def close():
         if len(run) >= 3:
-            out.append("".join(run))
+            joined = "".join(run)
+            out.extend([joined] if len(run) == 3 else [joined, joined[1:], joined[:-1]])
         else:
             out.extend(run)
         run.clear()
@@ -150,6 +153,8 @@ def raw_tokens(text: str) -> list[str]:
     for token in text.lower().split():
         if len(token) == 1:
             run.append(token)
+        elif len(token) <= 3 and len(bare := token.strip(_EDGE)) == 1:
+            run.append(bare)
         else:
             if run:
                 close()
