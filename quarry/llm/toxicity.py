@@ -3,8 +3,9 @@
 A token that may be disguised (digits or signs among letters, a letter three times in a row, letters one by one) opens a
 lattice of what each character may stand for, what may be dropped and which repeats may collapse; Viterbi decoding under a
 character trigram model, with a price for each change, finds the likeliest plain word.  Texts are then scored on restored
-words and their beginnings: a feature's weight is the lower bound of its precision among labelled documents, and
-the strongest feature decides (a text is as toxic as its worst word).
+words, their beginnings and stems: a stem counts where two different tokens or more, and one in SHARE of a text's, begin
+with it.  A feature's weight is the lower bound of its precision among labelled documents, near copies counting as one, and
+the strongest feature decides (a text is as toxic as its worst word).  A word that is much weaker evidence than its own stem counts by the stem alone.
 
 The model is fitted on at most FIT_DOCS labelled documents (those whose id hashes least); the bound concerns the
 fit alone.
@@ -18,8 +19,10 @@ from __future__ import annotations
 import math
 import re
 import uuid
+import zlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ from .language_id import held_out
 
 FIT_DOCS, THRESHOLD = 6000, 0.7
 SCHEMA = "doc_id long, score double"
+STEM_LENGTHS, STEM_TOKENS, SHARE, STEM_LEAD = range(3, 8), 2, 100, 0.05
+BANDS, BAND_ROWS = 12, 4
 #: Letters that a sign or digit may stand for.
 LEET = {
     "0": "o",
@@ -168,10 +173,18 @@ def _features(word: str) -> tuple[str, ...]:
     return (word, f"{word[:5]}~{len(word) - 5}") if len(word) > 5 else (word,)
 
 
+def _stems(word: str) -> tuple[str, ...]:
+    return tuple(f"{word[:n]}*" for n in STEM_LENGTHS if len(word) >= n)
+
+
+def _recurs(found: int, tokens: int) -> bool:
+    return found >= STEM_TOKENS and found * SHARE >= tokens
+
+
 class Model:
     def __init__(self, chars: CharModel, weight: dict[str, float], base: float, cache_words: int = 200_000):
         self.chars, self.weight, self.base, self.most = chars, weight, base, cache_words
-        self.cache: dict[str, float] = {}
+        self.cache: dict[str, tuple[float, tuple[str, ...]]] = {}
         self.uid = uuid.uuid4().hex
 
     def __reduce__(self):
@@ -190,18 +203,27 @@ class Model:
             out = [*out, *decode(token, self.chars)]
         return out
 
-    def of(self, token: str) -> float:
+    def of(self, token: str) -> tuple[float, tuple[str, ...]]:
+        """The weight of a token's worst reading, and the weighted stems of its readings."""
         if (got := self.cache.get(token)) is None:
-            got = max((self.weight.get(f, 0.0) for w in self.readings(token) for f in _features(w)), default=0.0)
+            read, weight = self.readings(token), self.weight
+            worst = max((weight.get(f, 0.0) for w in read for f in _features(w)), default=0.0)
+            got = worst, tuple({f for w in read for f in _stems(w) if f in weight})
             if len(self.cache) >= self.most:
                 self.cache.clear()
             self.cache[token] = got
         return got
 
     def score(self, text: str) -> float:
-        cache, of = self.cache, self.of
-        worst = max((cache[t] if t in cache else of(t) for t in set(raw_tokens(text))), default=0.0)
-        return max(worst, self.base)
+        cache, of, worst, tokens = self.cache, self.of, self.base, set(raw_tokens(text))
+        found: Counter = Counter()
+        for t in tokens:
+            weight, stems = cache[t] if t in cache else of(t)
+            if weight > worst:
+                worst = weight
+            if stems:
+                found.update(stems)
+        return max(worst, *(self.weight[f] for f, n in found.items() if _recurs(n, len(tokens))), 0.0)
 
 
 def _bound(hits: float, n: float, z: float = 1.5) -> float:
@@ -210,27 +232,80 @@ def _bound(hits: float, n: float, z: float = 1.5) -> float:
     return (p + zz / (2 * n) - z * math.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
 
 
+def families(texts: list[str]) -> list[int]:
+    """For each text the first one it is a near copy of, through others perhaps: some band of minima over 3-word shingles agrees."""
+    draws = np.random.default_rng(7).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+    first, seen, memo = list(range(len(texts))), {}, {}
+
+    def root(i: int) -> int:
+        while first[i] != i:
+            first[i] = i = first[first[i]]
+        return i
+
+    for i, text in enumerate(texts):
+        words = text.split()
+        if not words:
+            continue
+        h = np.array([memo[w] if w in memo else memo.setdefault(w, zlib.crc32(w.encode())) for w in words], np.uint64)
+        h = np.concatenate([h, h[-1:], h[-1:]])
+        h = (h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[2:] * np.uint64(0x165667B19E3779F9))
+        h = np.unique(h ^ (h >> np.uint64(29)))
+        least = [int((h * d).min()) for d in draws]
+        for b in range(BANDS):
+            at = seen.setdefault((b, *least[b * BAND_ROWS : (b + 1) * BAND_ROWS]), i)
+            low, high = sorted((root(at), root(i)))
+            first[high] = low
+    return [root(i) for i in range(len(texts))]
+
+
+def _unexplained(weight: dict[str, float]) -> dict[str, float]:
+    """weight without words, beginnings and shorter stems that are weaker by over STEM_LEAD than a stem they share."""
+    stems = {f[:-1]: w for f, w in weight.items() if f[-1] == "*"}
+    best = dict(stems)
+    for stem, w in stems.items():
+        for n in STEM_LENGTHS:
+            if n < len(stem) and stem[:n] in best:
+                best[stem[:n]] = max(best[stem[:n]], w)
+
+    def rival(f: str) -> float:
+        if f[-1] == "*":
+            return best[f[:-1]]
+        return max((stems.get(f.split("~")[0][:n], 0.0) for n in STEM_LENGTHS), default=0.0)
+
+    return {f: w for f, w in weight.items() if w + STEM_LEAD >= rival(f)}
+
+
 def fit(rows: list[tuple[str, int]]) -> Model:
-    """From (text, toxic).  Equal texts count once, so that copies don't make their words evidence."""
+    """From (text, toxic).  A group of near copies counts once, by its share of toxic ones, so that copies don't make their words evidence."""
     rows = sorted({t: y for t, y in sorted(rows)}.items())
     tokens = [(set(raw_tokens(t)), y) for t, y in rows]
     plain = Counter(b for own, _ in tokens for t in own if (b := t.strip(_EDGE)) and not disguised(b))
     chars = CharModel(plain)
     base = sum(y for _, y in rows) / max(1, len(rows))
     restorer = Model(chars, {}, base)
-    all_count, toxic_count = Counter(), Counter()
-    memo: dict[str, list[str]] = {}
-    for own, y in tokens:
-        features = set()
+    groups: dict[int, list[set[str]]] = {}
+    toxic_groups: dict[int, list[set[str]]] = {}
+    memo: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {}
+    for (own, y), family in zip(tokens, families([t for t, _ in rows])):
+        features, stems = set(), Counter()
         for t in own:
             if (got := memo.get(t)) is None:
-                got = memo[t] = [f for w in restorer.readings(t)[:1] for f in _features(w)]
-            features.update(got)
-        all_count.update(features)
+                word = next(iter(restorer.readings(t)), "")
+                got = memo[t] = (_features(word) if word else (), _stems(word))
+            features.update(got[0])
+            stems.update(got[1])
+        features.update(f for f, n in stems.items() if _recurs(n, len(own)))
+        groups.setdefault(family, []).append(features)
         if y:
-            toxic_count.update(features)
+            toxic_groups.setdefault(family, []).append(features)
+    all_count, toxic_count = Counter(), Counter()
+    for family, members in groups.items():
+        held = Counter(f for m in members for f in m)
+        all_count.update(held.keys())
+        for f, n in Counter(f for m in toxic_groups.get(family, ()) for f in m).items():
+            toxic_count[f] += n / held[f]
     weight = {f: w for f, n in toxic_count.items() if n >= 5 and (w := _bound(n, all_count[f])) > base + 0.15}
-    return Model(chars, weight, min(base, 0.5))
+    return Model(chars, _unexplained(weight), min(base, 0.5))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:

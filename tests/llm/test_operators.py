@@ -212,6 +212,16 @@ def test_toxicity_restores_and_holds_out(spark):
     assert model.score("nice day") < 0.7 and 0 <= model.score("") <= 1
 
 
+def test_toxicity_evidence():
+    long = " ".join(f"word{i}" for i in range(60))
+    assert toxicity.families([long, f"{long} end", "other words here", "", ""]) == [0, 0, 2, 3, 4]
+    nice = [(f"nice day {i}", 0) for i in range(60)]
+    model = toxicity.fit([(f"{long} {i}", 1) for i in range(30)] + nice)
+    assert model.score("word7") < 0.7, "near copies are one piece of evidence"
+    model = toxicity.fit([(f"a{i} b{i} zork{chr(97 + i)}x zork{chr(98 + i)}yy", 1) for i in range(20)] + [(f"c{i} zorkable", 0) for i in range(20)] + nice)
+    assert model.score("zorkly zorkish") >= 0.7 and model.score("zorkly") < 0.7
+
+
 def test_language(spark, docs, empty):
     sf = "/root/testdata/sf0.01"
     table = spark.read.parquet(f"{sf}/documents.parquet")
