@@ -177,6 +177,17 @@ def _stems(word: str) -> tuple[str, ...]:
     return tuple(f"{word[:n]}*" for n in STEM_LENGTHS if len(word) >= n)
 
 
+def _recurring(words: list[str], tokens: int) -> set[str]:
+    """Stems of words that recur; a longer stem's words are among a shorter one's."""
+    out, live = set(), words
+    for n in STEM_LENGTHS:
+        counts = Counter(w[:n] for w in live if len(w) >= n)
+        good = {p for p, k in counts.items() if _recurs(k, tokens)}
+        out.update(f"{p}*" for p in good)
+        live = [w for w in live if w[:n] in good]
+    return out
+
+
 def _recurs(found: int, tokens: int) -> bool:
     return found >= STEM_TOKENS and found * SHARE >= tokens
 
@@ -235,7 +246,7 @@ def _bound(hits: float, n: float, z: float = 1.5) -> float:
 def families(texts: list[str]) -> list[int]:
     """For each text the first one it is a near copy of, through others perhaps: some band of minima over 3-word shingles agrees."""
     draws = np.random.default_rng(7).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
-    first, seen, memo = list(range(len(texts))), {}, {}
+    first, seen = list(range(len(texts))), {}
 
     def root(i: int) -> int:
         while first[i] != i:
@@ -246,13 +257,13 @@ def families(texts: list[str]) -> list[int]:
         words = text.split()
         if not words:
             continue
-        h = np.array([memo[w] if w in memo else memo.setdefault(w, zlib.crc32(w.encode())) for w in words], np.uint64)
+        h = np.array([zlib.crc32(w.encode()) for w in words], np.uint64)
         h = np.concatenate([h, h[-1:], h[-1:]])
         h = (h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[2:] * np.uint64(0x165667B19E3779F9))
         h = np.unique(h ^ (h >> np.uint64(29)))
-        least = [int((h * d).min()) for d in draws]
+        least = np.array([(h * d).min() for d in draws], np.uint64)
         for b in range(BANDS):
-            at = seen.setdefault((b, *least[b * BAND_ROWS : (b + 1) * BAND_ROWS]), i)
+            at = seen.setdefault((b, least[b * BAND_ROWS : (b + 1) * BAND_ROWS].tobytes()), i)
             low, high = sorted((root(at), root(i)))
             first[high] = low
     return [root(i) for i in range(len(texts))]
@@ -278,33 +289,45 @@ def _unexplained(weight: dict[str, float]) -> dict[str, float]:
 def fit(rows: list[tuple[str, int]]) -> Model:
     """From (text, toxic).  A group of near copies counts once, by its share of toxic ones, so that copies don't make their words evidence."""
     rows = sorted({t: y for t, y in sorted(rows)}.items())
-    tokens = [(set(raw_tokens(t)), y) for t, y in rows]
-    plain = Counter(b for own, _ in tokens for t in own if (b := t.strip(_EDGE)) and not disguised(b))
+    plain = Counter(b for t, _ in rows for own in set(raw_tokens(t)) if (b := own.strip(_EDGE)) and not disguised(b))
     chars = CharModel(plain)
+    del plain
     base = sum(y for _, y in rows) / max(1, len(rows))
     restorer = Model(chars, {}, base)
-    groups: dict[int, list[set[str]]] = {}
-    toxic_groups: dict[int, list[set[str]]] = {}
-    memo: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {}
-    for (own, y), family in zip(tokens, families([t for t, _ in rows])):
-        features, stems = set(), Counter()
-        for t in own:
-            if (got := memo.get(t)) is None:
+    memo: dict[str, str] = {}
+
+    def features(text: str) -> set[str]:
+        tokens, words = set(raw_tokens(text)), []
+        for t in tokens:
+            if not disguised(t):
+                word = t
+            elif (word := memo.get(t)) is None:
                 word = next(iter(restorer.readings(t)), "")
-                got = memo[t] = (_features(word) if word else (), _stems(word))
-            features.update(got[0])
-            stems.update(got[1])
-        features.update(f for f, n in stems.items() if _recurs(n, len(own)))
-        groups.setdefault(family, []).append(features)
-        if y:
-            toxic_groups.setdefault(family, []).append(features)
+                if len(memo) < restorer.most:
+                    memo[t] = word
+            if word:
+                words.append(word)
+        return {f for w in words for f in _features(w)} | _recurring(words, len(tokens))
+
+    may = Counter(f for t, y in rows if y for f in features(t))
+    candidates = {f for f, n in may.items() if n >= 5}
+    del may
+    groups: dict[int, list[int]] = {}
+    for i, family in enumerate(families([t for t, _ in rows])):
+        groups.setdefault(family, []).append(i)
     all_count, toxic_count = Counter(), Counter()
-    for family, members in groups.items():
-        held = Counter(f for m in members for f in m)
+    for members in groups.values():
+        held, toxic = Counter(), Counter()
+        for i in members:
+            own = features(rows[i][0]) & candidates
+            held.update(own)
+            if rows[i][1]:
+                toxic.update(own)
         all_count.update(held.keys())
-        for f, n in Counter(f for m in toxic_groups.get(family, ()) for f in m).items():
+        for f, n in toxic.items():
             toxic_count[f] += n / held[f]
     weight = {f: w for f, n in toxic_count.items() if n >= 5 and (w := _bound(n, all_count[f])) > base + 0.15}
+    chars.memo.clear()
     return Model(chars, _unexplained(weight), min(base, 0.5))
 
 
