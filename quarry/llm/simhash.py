@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_written, map_texts, text_hash, written
@@ -245,8 +245,10 @@ def components(docs: DataFrame, width: int = 3, k: int = 2) -> DataFrame:
     return fps.join(of, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Min-wise sketches: BANDS bands of ROWS of the MINIMA minima are keys; all of them estimate the similarity.
-MINIMA, BANDS, ROWS = 128, 16, 5
+#: Min-wise sketches: the share of equal minima estimates the similarity.
+MINIMA = 128
+#: Texts of a block of a bucket; blocks are compared two at a time.
+BLOCK = 1024
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(0, 1 << 63, size=MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _rng.integers(0, 1 << 63, size=MINIMA, dtype=np.uint64)
@@ -261,20 +263,28 @@ def minima(digests: list[bytes]) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, th (text hash), fp, minima (binary) and bands of every row."""
+def least_equal(similarity: float) -> int:
+    """The least number of equal minima whose share is similarity or more."""
+    return int(np.argmax(np.arange(MINIMA + 1) / MINIMA >= similarity))
+
+
+def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, th (text hash), fp, minima (binary) and bands of every row.
+
+    The minima are cut into one band more than minima may differ, so two texts of the similarity or more agree in a whole band."""
+    cuts = [len(part) for part in np.array_split(np.arange(MINIMA), MINIMA - least_equal(similarity) + 1)]
+    ends = 4 * np.cumsum(cuts)
+    places = list(zip((ends - 4 * np.array(cuts)).tolist(), ends.tolist()))
 
     def make():
         def f(ids, hashes, texts):
             fps, all_minima, bands = [], [], []
             for t in texts:
                 digests = shingle_digests(t, width)
-                m = minima(digests)
+                own = minima(digests).tobytes()
                 fps.append(majority(digests))
-                all_minima.append(m.tobytes())
-                cut = m[: BANDS * ROWS].tobytes()
-                step = 4 * ROWS
-                keys = [xxhash.xxh64_intdigest(cut[i * step : (i + 1) * step], i) for i in range(BANDS)]
+                all_minima.append(own)
+                keys = [xxhash.xxh64_intdigest(own[a:b], i) for i, (a, b) in enumerate(places)]
                 bands.append(np.array(keys, dtype=np.uint64).view(np.int64).tolist())
             return [ids, hashes, fps, all_minima, bands]
 
@@ -284,26 +294,31 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return map_texts(docs, ["doc_id", "th", "text"], schema, make)
 
 
-def _candidates(sketched: DataFrame, k: int) -> DataFrame:
-    """Distinct pairs (a, b) of text hashes, a < b: fingerprints linked by the trees, and least and greatest of a band's key."""
+def _buckets(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written tables (th, key) of the bands' keys, and (key, lo, hi) of those with two texts or more."""
+    keyed = written(sketched.select("th", F.explode("bands").alias("key")).distinct(), "bands")
+    shared = keyed.groupBy("key").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo < hi")
+    return keyed, written(shared, "buckets")
+
+
+def _candidates(sketched: DataFrame, keyed: DataFrame, shared: DataFrame, k: int) -> DataFrame:
+    """Distinct pairs (a, b) of text hashes, a < b: fingerprints linked by the trees, and least and greatest of a band's key.
+
+    They join most near copies cheaply; what they leave apart, :func:`crossing` compares."""
     by_fp = sketched.groupBy("fp").agg(F.min("th").alias("lo"), F.max("th").alias("hi"))
     points = written(by_fp, "points")
     tree = written(linked_points(points.select("fp"), k), "edges")
     root = points.select(F.col("fp").alias("root"), F.col("lo").alias("root_lo"))
     linked = tree.join(points, "fp").join(root, "root").select(F.col("lo").alias("a"), F.col("root_lo").alias("b"))
     same = sketched.select("fp", "th").distinct().join(points.where("lo < hi"), "fp").select(F.col("th").alias("a"), F.col("lo").alias("b"))
-    keyed = written(sketched.select("th", F.explode("bands").alias("key")).distinct(), "bands")
-    shared = written(
-        keyed.groupBy("key").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo < hi"), "buckets"
-    )
     met = keyed.join(shared, "key")
     pairs = linked.union(same).union(met.select("th", "lo")).union(met.select("th", "hi")).where("a != b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_pairs(sketched: DataFrame, k: int, similarity: float) -> DataFrame:
+def similar_pairs(sketched: DataFrame, candidates: DataFrame, similarity: float) -> DataFrame:
     """(fp, root): candidates whose share of equal minima is similarity or more; the names are those of edges."""
-    pairs = written(_candidates(sketched, k), "pairs")
+    pairs = written(candidates, "pairs")
     nodes = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
     one = written(sketched.select("th", "minima").join(nodes, "th", "left_semi").dropDuplicates(["th"]), "minima")
     sides = pairs.join(one.select(F.col("th").alias("a"), F.col("minima").alias("x")), "a").join(
@@ -319,20 +334,107 @@ def similar_pairs(sketched: DataFrame, k: int, similarity: float) -> DataFrame:
     return sides.select("a", "b", "x", "y").mapInArrow(alike, "fp long, root long")
 
 
+def _equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Numbers of equal minima of each row of x with each of y."""
+    if len(x) * len(y) <= 4096:
+        return (x[:, None, :] == y[None, :, :]).sum(axis=2)
+    out = np.zeros((len(x), len(y)), np.uint8)
+    for a, b in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)):
+        out += a[:, None] == b[None, :]
+    return out
+
+
+def joins(x: np.ndarray, x_part: np.ndarray, y: np.ndarray, y_part: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Pairs of parts that connect what any two rows of x and y with least equal minima connect; fewer than the parts."""
+    names, part = np.unique(np.concatenate([x_part, y_part]), return_inverse=True)
+    out, ours, theirs = [], part[: len(x)], part[len(x) :]
+    root = np.arange(len(names))
+    near = (_equal(x, y) >= least) & (ours[:, None] != theirs[None, :])
+    for i in np.flatnonzero(near.any(axis=1)).tolist():
+        met = np.unique(root[np.append(theirs[near[i]], ours[i])])
+        if len(met) > 1:
+            out += [(int(names[m]), int(names[met[0]])) for m in met[1:]]
+            root[np.isin(root, met)] = met[0]
+    return out
+
+
+def crossing(sketched: DataFrame, keyed: DataFrame, shared: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """(fp, root): labels of parts that texts of one key connect, by all pairs of texts of a key that are in different parts.
+
+    Least and greatest of a key have met all its texts, and a key within one part needs nothing more.  A large key is cut into
+    blocks, a large part of it into its own ones, and tasks get two blocks each; blocks of the same large part are not compared.
+    """
+    part = F.coalesce("label", "th").alias("part")
+    members = keyed.join(shared, "key").where("th != lo and th != hi").select("key", "th")
+    members = written(members.join(labels, members.th == labels.node, "left").select("key", "th", part), "members")
+    several = members.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
+    sized = written(members.join(several, "key", "left_semi").groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    whole = F.when(F.col("n") >= BLOCK, F.col("part"))
+    sets = sized.groupBy("key", whole.alias("whole")).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("own"))
+    window = Window.partitionBy("key")
+    before = window.orderBy(F.col("whole").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    sets = sets.select(
+        F.col("key").alias("k"), "whole", "own", F.coalesce(F.sum("own").over(before), F.lit(0)).cast("int").alias("first"),
+        F.sum("own").over(window).cast("int").alias("blocks"),
+    )
+    placed = sized.join(sets, (F.col("key") == F.col("k")) & whole.eqNullSafe(F.col("whole")))
+    placed = placed.select("key", "part", "own", "first", "blocks", F.col("whole").isNotNull().alias("is_whole"))
+    block = F.col("first") + F.pmod(F.xxhash64("th"), F.col("own")).cast("int")
+    rows = members.join(placed, ["key", "part"]).withColumn("block", block)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    inside = F.col("is_whole") & (F.col("other") >= F.col("first")) & (F.col("other") < F.col("first") + F.col("own"))
+    rows = rows.select("*", other).where(~inside)
+    rows = rows.select("th", "part", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    rows = written(rows, "blocks")
+    one = sketched.join(rows.select("th").distinct(), "th", "left_semi").select("th", "minima").dropDuplicates(["th"])
+    dealt = rows.join(written(one, "minima"), "th").drop("th").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    least = least_equal(similarity)
+
+    def pairs(held: pa.Table, ends: list[int]) -> pa.RecordBatch:
+        m = np.frombuffer(b"".join(held.column("minima").to_pylist()), dtype=np.uint32).reshape(-1, MINIMA)
+        p, i, j, at = (held.column(c).to_numpy() for c in ("part", "i", "j", "block"))
+        found: list[tuple[int, int]] = []
+        for a, b in zip(ends[:-1], ends[1:]):
+            x, y = (slice(None), slice(None)) if i[a] == j[a] else (at[a:b] == i[a], at[a:b] == j[a])
+            found += joins(m[a:b][x], p[a:b][x], m[a:b][y], p[a:b][y], least)
+        return pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in (0, 1)], names=["fp", "root"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            keys = [held.column(c).to_numpy() for c in ("key", "i", "j")]
+            starts = (np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist()
+            if starts:
+                yield pairs(held.slice(0, starts[-1]), [0, *starts])
+                held = held.slice(starts[-1])
+        if held is not None:
+            yield pairs(held, [0, held.num_rows])
+
+    return dealt.mapInArrow(run, "fp long, root long")
+
+
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, k: int = 3) -> DataFrame:
     """docs with one row of each group of near copies: its least doc_id, the least text hash among repeats of that id.
 
     Texts of similarity 0.8 differ in up to 14 of 64 bits, where random texts differ in 32 +- 4: at that radius no
-    triangle bound prunes, and the trees alone would compare all pairs.  So the trees link what is within k bits, banded min-wise keys
-    add the pairs down to the similarity, and the share of equal minima (128: standard error 0.035 at 0.8) decides every pair.
+    triangle bound prunes, and the trees alone would compare all pairs.  So the trees link what is within k bits, and banded min-wise
+    keys give every pair whose share of equal minima (128: standard error 0.035 at 0.8) is the similarity or more; that share decides.
     Rows without doc_id count as after all others and keep one row a group too.
     """
     last = F.lit((1 << 63) - 1)
     keyed = docs.select(F.coalesce("doc_id", last).alias("doc_id"), "text", text_hash(F.col("text")).alias("th"))
-    sketched = written(sketches(keyed, width), "sketches")
-    labels = propagate(written(similar_pairs(sketched, k, similarity), "edges"))
+    sketched = written(sketches(keyed, width, similarity), "sketches")
+    buckets = _buckets(sketched)
+    pairs = similar_pairs(sketched, _candidates(sketched, *buckets, k), similarity)
+    first = propagate(written(pairs, "edges"))
+    further = propagate(written(crossing(sketched, *buckets, first, similarity), "edges"))
     texts = written(sketched.groupBy("th").agg(F.min("doc_id").alias("least")), "texts")
-    named = texts.join(labels, texts.th == labels.node, "left").select("th", "least", F.coalesce("label", "th").alias("label"))
+    named = texts.join(first, texts.th == first.node, "left").select("th", "least", F.coalesce("label", "th").alias("part"))
+    named = named.join(further, named.part == further.node, "left").select("th", "least", F.coalesce("label", "part").alias("label"))
     own = named.groupBy("label").agg(F.min("least").alias("_keep"))
     of_text = written(named.select("th", "label").join(own, "label").select("th", "_keep"), "classes")
     rows = sketched.select("doc_id", "th").join(of_text, "th").where(F.col("doc_id") == F.col("_keep"))

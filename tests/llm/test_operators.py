@@ -105,6 +105,30 @@ def test_simhash_links(docs, empty):
     assert simhash.op5(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_keep_one_equals_brute_force_in_a_template_group(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, size=n)]
+    template, texts = words(165), []
+    for _ in range(200):
+        own = template + words(35)
+        copy = own[:-14] + words(14)
+        texts += [" ".join(own), " ".join(copy)]
+    ids = rng.permutation(len(texts)).tolist()
+    m = np.array([simhash.minima(simhash.shingle_digests(t.encode(), 5)) for t in texts])
+    alike = [(m == row).sum(axis=1) >= 103 for row in m]
+    least = list(ids)
+    while True:
+        after = [min(np.array(least)[row]) for row in alike]
+        if after == least:
+            break
+        least = after
+    table = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    assert 1 < len(set(least)) < len(texts)
+    assert sorted(r.doc_id for r in simhash.keep_one(table).collect()) == sorted(set(least))
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    assert sorted(r.doc_id for r in simhash.keep_one(table).collect()) == sorted(set(least))
+
+
 def test_star_edges_equal_brute_force():
     rng = np.random.default_rng(3)
     far = rng.integers(0, 1 << 63, size=1500, dtype=np.uint64)
