@@ -45,10 +45,12 @@ FAMILIES = (
     ("mit-0", "mit", "mit (?:0|no attribution)", "mit 0"),
     ("mit", "mit", "mit(?: x11| expat)?", "mit"),
     ("mit", "expat", "expat", "mit"),
-    ("x11", "x11", "x11|x consortium", "x11"),
+    ("x11", "x11", "x11", "x11"),
+    ("x11", "consortium", "x consortium", "x11"),
     ("bsd-4-clause", "bsd", "(?:4 clause|four clause|original|old) bsd|bsd (?:4|four) clause", "bsd 4 clause"),
     ("bsd-3-clause", "bsd", "(?:3 clause|three clause|new|modified|revised) bsd|bsd (?:3|three) clause", "bsd 3 clause"),
-    ("bsd-2-clause", "bsd", "(?:2 clause|two clause|simplified) bsd|bsd (?:2|two) clause|freebsd", "bsd 2 clause"),
+    ("bsd-2-clause", "bsd", "(?:2 clause|two clause|simplified) bsd|bsd (?:2|two) clause", "bsd 2 clause"),
+    ("bsd-2-clause", "freebsd", "freebsd", "bsd 2 clause"),
     ("0bsd", "bsd", "(?:zero clause|0 clause) bsd|bsd (?:zero|0) clause", "0bsd"),
     ("bsd", "bsd", "(?:berkeley )?bsd(?: style)?", "bsd"),
     ("isc", "isc", "isc", "isc"),
@@ -104,7 +106,8 @@ _BARE = (
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification", 1.0),
     ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 1.0),
     ("zlib", "altered", "altered source versions must be plainly marked as such", 1.0),
-    ("proprietary", "proprietary", "(?:proprietary|confidential) and (?:proprietary|confidential)", 0.6),
+    ("proprietary", "proprietary", "proprietary and (?:proprietary|confidential)|confidential and proprietary", 0.6),
+    ("proprietary", "confidential", "confidential and confidential", 0.6),
 )
 
 

@@ -181,6 +181,41 @@ def test_licenses(docs, empty):
     assert licenses.op8(empty).count() == 0 and len(licenses.rules()) > 200
 
 
+def samples(parsed):
+    """Strings an expression matches, each alternative at least once."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            some = [chr(arg)]
+        elif op == "IN":
+            some = [chr(c) for o, a in arg for c in ([a] if str(o) == "LITERAL" else range(a[0], a[1] + 1))]
+        elif op == "BRANCH":
+            some = [x for branch in arg[1] for x in samples(branch)]
+        elif op == "MAX_REPEAT":
+            some = [*samples(arg[2]), ""] if arg[0] == 0 else samples(arg[2])
+        elif op == "SUBPATTERN":
+            some = samples(arg[3])
+        else:
+            assert op == "ASSERT_NOT", op
+            some = [""]
+        # Each string so far with the first choice, and the first string with each other choice.
+        out = [x + some[0] for x in out] + [out[0] + x for x in some[1:]]
+    return out
+
+
+def test_license_gates_hold_for_every_alternative(spark):
+    for r in licenses.rules():
+        for x in samples(re._parser.parse(r["regex"])):
+            s = f" {x} "
+            if re.search(r["regex"], s):
+                assert r["cue"] in s and r["kw"] in s, (r["label"], s)
+    texts = ["Licensed under the X Consortium License.", "released under the FreeBSD License", "confidential and confidential"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.op8(table).collect()}
+    assert got == {0: ("x11", 1.0), 1: ("bsd-2-clause", 1.0), 2: ("proprietary", 0.6)}
+
+
 def test_decontaminate(spark, docs, empty):
     bench = spark.createDataFrame([(1, "QUICK brown, fox"), (2, None), (3, " ".join(f"word{i} and" for i in range(30, 36)))], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.op9(docs, bench).collect()}
