@@ -3,8 +3,8 @@
 A token that may be disguised (digits or signs among letters, a letter three times in a row, letters one by one) opens a
 lattice of what each character may stand for, what may be dropped and which repeats may collapse; Viterbi decoding under a
 character trigram model, with a price for each change, finds the likeliest plain word.  Texts are then scored on restored
-words, their beginnings and stems: a stem counts where two different tokens or more, and one in SHARE of a text's, begin
-with it.  A feature's weight is the lower bound of its precision among labelled documents, near copies counting as one, and
+words, their beginnings and stems: a stem counts where two different tokens or more, and one in SHARE of the different tokens
+of the text or of the stretch from one of them to the next, begin with it, so a passage scores alike in a short and a very long text.  A feature's weight is the lower bound of its precision among labelled documents, near copies counting as one, and
 the strongest feature decides (a text is as toxic as its worst word).  A word that is much weaker evidence than its own stem counts by the stem alone.
 
 The model is fitted on at most FIT_DOCS labelled documents (those whose id hashes least); the bound concerns the
@@ -21,6 +21,7 @@ import re
 import uuid
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -177,21 +178,44 @@ def _stems(word: str) -> tuple[str, ...]:
     return tuple(f"{word[:n]}*" for n in STEM_LENGTHS if len(word) >= n)
 
 
-def _recurring(words: list[str], tokens: int) -> set[str]:
-    """Stems of words that recur; a longer stem's words are among a shorter one's."""
-    out, live = set(), words
+def _stretches(tokens: list[str]) -> list[int]:
+    """For each place the end of the longest stretch from it with STEM_TOKENS * SHARE different tokens at most."""
+    most, n = STEM_TOKENS * SHARE, len(tokens)
+    held: Counter = Counter()
+    ends, end = [], 0
+    for token in tokens:
+        while end < n and (len(held) < most or tokens[end] in held):
+            held[tokens[end]] += 1
+            end += 1
+        ends.append(end)
+        held[token] -= 1
+        if not held[token]:
+            del held[token]
+    return ends
+
+
+def _near(places: Iterable[tuple[int, str, str]], ends: list[int], different: int) -> set[str]:
+    """Stems that recur, from (place, token, stem) in order of place, in a text of so many different tokens."""
+    out, last, found = set(), {}, {}
+    for at, token, stem in places:
+        before, was = last.get(stem, (at, token))
+        if was != token and at < ends[before]:
+            out.add(stem)
+        last[stem] = at, token
+        found.setdefault(stem, set()).add(token)
+    return out | {stem for stem, own in found.items() if len(own) >= STEM_TOKENS and len(own) * SHARE >= different}
+
+
+def _recurring(words: list[tuple[int, str, str]], tokens: list[str]) -> set[str]:
+    """Stems that recur, from (place, token, word); a longer stem's words are among a shorter one's."""
+    out, live, ends, different = set(), words, _stretches(tokens), len(set(tokens))
     for n in STEM_LENGTHS:
-        counts = Counter(w[:n] for w in live if len(w) >= n)
-        good = {p for p, k in counts.items() if _recurs(k, tokens)}
+        good = _near(((at, t, w[:n]) for at, t, w in live if len(w) >= n), ends, different)
         out.update(f"{p}*" for p in good)
-        live = [w for w in live if w[:n] in good]
+        live = [x for x in live if x[2][:n] in good]
     return out
 
 
-def _recurs(found: int, tokens: int) -> bool:
-    return found >= STEM_TOKENS and found * SHARE >= tokens
-
-
 class Model:
     def __init__(self, chars: CharModel, weight: dict[str, float], base: float, cache_words: int = 200_000):
         self.chars, self.weight, self.base, self.most = chars, weight, base, cache_words
@@ -226,15 +250,19 @@ class Model:
         return got
 
     def score(self, text: str) -> float:
-        cache, of, worst, tokens = self.cache, self.of, self.base, set(raw_tokens(text))
-        found: Counter = Counter()
-        for t in tokens:
+        cache, of, worst, tokens = self.cache, self.of, self.base, raw_tokens(text)
+        stemmed: dict[str, tuple[str, ...]] = {}
+        for t in set(tokens):
             weight, stems = cache[t] if t in cache else of(t)
             if weight > worst:
                 worst = weight
             if stems:
-                found.update(stems)
-        return max(worst, *(self.weight[f] for f, n in found.items() if _recurs(n, len(tokens))), 0.0)
+                stemmed[t] = stems
+        if len(stemmed) > 1:
+            places = ((i, t, f) for i, t in enumerate(tokens) if t in stemmed for f in stemmed[t])
+            near = _near(places, _stretches(tokens), len(set(tokens)))
+            worst = max([worst, *(self.weight[f] for f in near)])
+        return max(worst, 0.0)
 
 
 def _bound(hits: float, n: float, z: float = 1.5) -> float:
@@ -297,8 +325,8 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     memo: dict[str, str] = {}
 
     def features(text: str) -> set[str]:
-        tokens, words = set(raw_tokens(text)), []
-        for t in tokens:
+        tokens, words = raw_tokens(text), []
+        for at, t in enumerate(tokens):
             if not disguised(t):
                 word = t
             elif (word := memo.get(t)) is None:
@@ -306,8 +334,8 @@ def fit(rows: list[tuple[str, int]]) -> Model:
                 if len(memo) < restorer.most:
                     memo[t] = word
             if word:
-                words.append(word)
-        return {f for w in words for f in _features(w)} | _recurring(words, len(tokens))
+                words.append((at, t, word))
+        return {f for w in {w for _, _, w in words} for f in _features(w)} | _recurring(words, tokens)
 
     may = Counter(f for t, y in rows if y for f in features(t))
     candidates = {f for f, n in may.items() if n >= 5}

@@ -281,6 +281,16 @@ def test_toxicity_evidence():
     assert model.score("zorkly zorkish") >= 0.7 and model.score("zorkly") < 0.7
 
 
+def test_toxic_passage_scores_alike_in_a_long_text():
+    rows = [(f"a{i} b{i} zork{chr(97 + i)}x zork{chr(98 + i)}yy", 1) for i in range(20)] + [(f"c{i} zorkable", 0) for i in range(20)]
+    model = toxicity.fit(rows + [(f"nice day {i}", 0) for i in range(60)])
+    filler = lambda n: " ".join(f"fill{chr(97 + i % 26)}{i}" for i in range(n))
+    passage = "zorkly is zorkish"
+    short, long = model.score(passage), model.score(f"{filler(1900)} {passage} {filler(1500)}")
+    assert short == long >= 0.7
+    assert model.score(f"zorkly {filler(500)} zorkish") < 0.7
+
+
 def test_language(spark, docs, empty):
     sf = "/root/testdata/sf0.01"
     table = spark.read.parquet(f"{sf}/documents.parquet")
