@@ -93,8 +93,8 @@ class CharModel:
         return got
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of a character: what it may read, with prices."""
+def lattice(token: str, ends: bool = False) -> list[list[tuple[str, float]]]:
+    """For each run of a character: what it may read, with prices; with ends, a blank after or between its letters ends a word."""
     out, i = [], 0
     while i < len(token):
         c, j = token[i], i
@@ -114,28 +114,43 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             options.append(("", DROP_PRICE))
         if not options:
             options.append((c, 4 * LETTER_PRICE))
+        if ends:
+            options += [(f"{x} ", p) for x, p in options if x] + [(f"{x[0]} {x[1:]}", p) for x, p in options if len(x) == 2]
         out.append(options)
     return out
 
 
-def decode(token: str, model: CharModel) -> list[str]:
+def decode(token: str, model: CharModel, ends: bool = False) -> list[str]:
     """Plain words of a token, likeliest first: Viterbi over the lattice, states are the last two characters.
 
-    Of each last state the best path remains; words over MARGIN less likely than the best are left out."""
-    states: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
-    for options in lattice(token):
-        after: dict[str, tuple[float, str]] = {}
-        for state, (score, text) in states.items():
+    Of each last state the best path remains; words over MARGIN less likely than the best are left out.  With ends, a reading may
+    be several words with blanks between them."""
+    states: dict[str, tuple[float, tuple]] = {"^^": (0.0, ())}
+    for options in lattice(token, ends):
+        after: dict[str, tuple[float, tuple]] = {}
+        for state, (score, path) in states.items():
             for letters, price in options:
                 s, at = score + price, state
                 for c in letters:
-                    s += model.log(at + c)
-                    at = at[1] + c
+                    if c == " ":
+                        s, at = s + model.log(at + "$"), "^^"
+                    else:
+                        s += model.log(at + c)
+                        at = at[1] + c
                 if at not in after or s > after[at][0]:
-                    after[at] = (s, text + letters)
+                    after[at] = (s, (path, letters) if letters else path)
         states = after
-    ends = sorted(((s + model.log(at + "$"), text) for at, (s, text) in states.items()), reverse=True)
-    return [text for s, text in ends if text and s >= ends[0][0] - MARGIN]
+    last = sorted(((s + (0.0 if ends and at == "^^" else model.log(at + "$")), at) for at, (s, _) in states.items()), reverse=True)
+    out = []
+    for s, at in last:
+        if s >= last[0][0] - MARGIN:
+            parts, path = [], states[at][1]
+            while path:
+                path, letters = path
+                parts.append(letters)
+            if parts:
+                out.append("".join(reversed(parts)).strip())
+    return out
 
 
 def disguised(token: str) -> bool:
@@ -143,15 +158,12 @@ def disguised(token: str) -> bool:
 
 
 def raw_tokens(text: str) -> list[str]:
-    """Lower-cased blank-separated tokens; three or more single characters in a row come as one.
-
-    A word of one letter may stand next to a spaced-out word, so such a run also comes without its first or last."""
+    """Lower-cased blank-separated tokens; three or more single characters in a row come as one, with its blanks."""
     out, run = [], []
 
     def close():
         if len(run) >= 3:
-            joined = "".join(run)
-            out.extend([joined] if len(run) == 3 else [joined, joined[1:], joined[:-1]])
+            out.append(" ".join(run))
         else:
             out.extend(run)
         run.clear()
@@ -226,18 +238,28 @@ class Model:
         return shared, (Model, self.uid, (self.chars, self.weight, self.base, self.most))
 
     def readings(self, token: str) -> list[str]:
-        """The plain words that may stand behind a token, likeliest first."""
+        """The plain words that may stand behind a token, likeliest first; of a spaced-out run, the words found in it."""
+        if " " in token:
+            return self.spaced(token.replace(" ", ""))
         bare = token.strip(_EDGE)
         if not bare or not disguised(bare):
             out = [bare] if bare else []
-        elif len(bare) > 64 or not any(map(str.isalpha, bare)):
+        elif not any(map(str.isalpha, bare)):
             out = [bare]
         else:
             out = decode(bare, self.chars)
-        if len(bare) < len(token) <= 64 and (token[0] in LEET or token[-1] in LEET) and any(map(str.isalpha, token)):
+        if len(bare) < len(token) and (token[0] in LEET or token[-1] in LEET) and any(map(str.isalpha, token)):
             out = [*out, *decode(token, self.chars)]
         return out
 
+    def spaced(self, run: str) -> list[str]:
+        """The run as one word, also without its first or last letter, which may be a word, and as the words that the lattice parts."""
+        wholes = [run] if len(run) == 3 else [run, run[1:], run[:-1]]
+        out = [w for whole in wholes for w in self.readings(whole)]
+        if any(map(str.isalpha, run)):
+            out += [w for reading in decode(run, self.chars, True) for w in reading.split()]
+        return list(dict.fromkeys(out))
+
     def of(self, token: str) -> tuple[float, tuple[str, ...]]:
         """The weight of a token's worst reading, and the weighted stems of its readings."""
         if (got := self.cache.get(token)) is None:
@@ -322,19 +344,18 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     del plain
     base = sum(y for _, y in rows) / max(1, len(rows))
     restorer = Model(chars, {}, base)
-    memo: dict[str, str] = {}
+    memo: dict[str, tuple[str, ...]] = {}
 
     def features(text: str) -> set[str]:
         tokens, words = raw_tokens(text), []
         for at, t in enumerate(tokens):
             if not disguised(t):
-                word = t
-            elif (word := memo.get(t)) is None:
-                word = next(iter(restorer.readings(t)), "")
+                read = (t,)
+            elif (read := memo.get(t)) is None:
+                read = tuple(restorer.readings(t)[: None if " " in t else 1])
                 if len(memo) < restorer.most:
-                    memo[t] = word
-            if word:
-                words.append((at, t, word))
+                    memo[t] = read
+            words.extend((at, t, word) for word in read)
         return {f for w in {w for _, _, w in words} for f in _features(w)} | _recurring(words, tokens)
 
     may = Counter(f for t, y in rows if y for f in features(t))

@@ -291,6 +291,19 @@ def test_toxic_passage_scores_alike_in_a_long_text():
     assert model.score(f"zorkly {filler(500)} zorkish") < 0.7
 
 
+def test_toxicity_restores_long_and_spaced_disguises():
+    toxic = [(f"you clown number {i}", 1) for i in range(20)] + [(f"such an idiot i met {i}", 1) for i in range(20)]
+    nice = [(t, 0) for i in range(30) for t in (f"you have a nice day {i}", f"i met a friend and you met such an old number {i}")]
+    model = toxicity.fit(toxic + nice)
+    spaced = lambda t: " ".join(t.replace(" ", ""))
+    letters = spaced("you have a nice day and i met an old friend and you met such a nice friend you clown i met a friend and an old day")
+    assert len(letters.split()) > 64
+    hidden = ["idi" + 80 * "o" + "t", "cl0" + 70 * "w" + "n", "y o u i d i o t", "y o u c l o w n", "a i d i o t I", "an i d i o t i met", letters]
+    assert [t for t in hidden if model.score(t) < 0.7] == []
+    assert model.score(spaced("you have a nice day")) < 0.7 and model.score("a" * 500 + "1" * 500) < 0.7
+    assert model.score("1 2 3 4 5 6") < 0.7 and model.score("x9" * 50_000) < 0.7
+
+
 def test_language(spark, docs, empty):
     sf = "/root/testdata/sf0.01"
     table = spark.read.parquet(f"{sf}/documents.parquet")
