@@ -87,7 +87,7 @@ class CharModel:
             p1 = (self.one.get(gram[2], 0) + 0.01) / self.all
             p2 = (self.two.get(gram[1:], 0) + 8 * p1) / (self.left.get(gram[1], 0) + 8)
             p3 = (self.three.get(gram, 0) + 4 * p2) / (self.left2.get(gram[:2], 0) + 4)
-            if len(self.memo) > 500_000:
+            if len(self.memo) > 100_000:
                 self.memo.clear()
             got = self.memo[gram] = math.log(p3)
         return got
@@ -229,7 +229,7 @@ def _recurring(words: list[tuple[int, str, str]], tokens: list[str]) -> set[str]
 
 
 class Model:
-    def __init__(self, chars: CharModel, weight: dict[str, float], base: float, cache_words: int = 200_000):
+    def __init__(self, chars: CharModel, weight: dict[str, float], base: float, cache_words: int = 60_000):
         self.chars, self.weight, self.base, self.most = chars, weight, base, cache_words
         self.cache: dict[str, tuple[float, tuple[str, ...]]] = {}
         self.uid = uuid.uuid4().hex
@@ -266,9 +266,10 @@ class Model:
             read, weight = self.readings(token), self.weight
             worst = max((weight.get(f, 0.0) for w in read for f in _features(w)), default=0.0)
             got = worst, tuple({f for w in read for f in _stems(w) if f in weight})
-            if len(self.cache) >= self.most:
-                self.cache.clear()
-            self.cache[token] = got
+            if len(token) <= 64:  # long ones hardly recur
+                if len(self.cache) >= self.most:
+                    self.cache.clear()
+                self.cache[token] = got
         return got
 
     def score(self, text: str) -> float:
@@ -353,7 +354,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
                 read = (t,)
             elif (read := memo.get(t)) is None:
                 read = tuple(restorer.readings(t)[: None if " " in t else 1])
-                if len(memo) < restorer.most:
+                if len(memo) < restorer.most and len(t) <= 64:
                     memo[t] = read
             words.extend((at, t, word) for word in read)
         return {f for w in {w for _, _, w in words} for f in _features(w)} | _recurring(words, tokens)
