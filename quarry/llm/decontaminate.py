@@ -1,18 +1,19 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is document-partitioned, so building and searching it moves no row between tasks.  Pass 1
-stores, for blocks of whole documents, the positions of every word that the benchmark uses (one row a
-block: terms, list bounds, positions over the block's words, with a gap between documents).  Pass 2
-sends the windows to all blocks: a window whose terms are not all in the block ends at once; else its rarest
-term's list, shifted by the term's offset, is intersected with the next rarest's, and so on.  With slop 0
-what is left are exact phrases; with a larger slop each term may stand so many words off its place (proximity).
+The index is document-partitioned, so building it moves no row between tasks, and it is built once for any benchmark: each row
+is a block of whole documents with its terms, their bounds and their positions over the block's words, with a gap between
+documents.  A search sends windows to all blocks.  Windows with a term that the block lacks end at one look at their row of term
+numbers.  Of the others, the postings of each one's rarest term, shifted by that term's offset, are intersected with the next
+rarest's, and so on, for all windows of a chunk at once.  With slop 0 what is left are exact phrases; with a larger slop
+each term may stand so many words off its place (proximity).
 
-The benchmark's side is taken in chunks of at most MAX_WINDOWS windows, the proven bound of what is
-broadcast; each chunk searches all documents, and a document's spans from all chunks are united.
+The benchmark's side is broadcast in chunks of at most MAX_WINDOWS distinct windows, cut within an item too; each chunk
+searches the same written index, whose rows name documents by (block, ordinal), and a document's spans from all chunks are united.
 
 Defined cases: null or wordless texts have no words and no hits, and a wordless item has no window; repeated rows
 keep a row each; very long documents are whole, in a block of their own; equal item ids count once, a
-null item id marks words but isn't counted; an empty benchmark hits nothing; extra columns are ignored.
+null item id marks words but isn't counted; an empty benchmark hits nothing; an empty documents table gives an empty result; equally
+rare terms of a window are taken from the left; extra columns are ignored by :func:`matches` and kept by :func:`clean`.
 """
 
 from __future__ import annotations
@@ -24,12 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, written
+from .common import WORD_BYTES, fresh, release, slices, small, text_hash, written
 
 MAX_WINDOWS = 1_000_000
-BLOCK_WORDS, BLOCK_DOCS = 2_000_000, 4096
+BLOCK_WORDS, BLOCK_DOCS = 1_000_000, 4096
+#: Places that are followed at a time while lists are intersected; one window's own list may be longer.
+PLACES = 1 << 19
 INDEX = "block long, doc_ids array<long>, n_words array<int>, terms binary, bounds binary, positions binary"
 HITS = "block long, ordinal int, doc_id long, n_words long, spans array<struct<start:long,stop:long>>, items array<long>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
 def words(text: bytes) -> list[bytes]:
@@ -37,66 +41,80 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
+class Numbers(dict):
+    """Numbers keys from 0 as they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = got = len(self)
+        return got
+
+
 class Windows:
-    """Distinct windows of a chunk of items, with the numbers of their terms."""
+    """Distinct windows of a chunk of items, as tuples of term numbers, with the items that hold them."""
 
-    def __init__(self, width: int):
-        self.width = width
-        self.vocabulary: dict[bytes, int] = {}
+    def __init__(self):
+        self.vocabulary = Numbers()
         self.items: dict[tuple[int, ...], set[int]] = {}
 
-    def add(self, item_id: int | None, text: str | None) -> None:
-        terms = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words((text or "").encode())]
-        for at in range(max(1, len(terms) - self.width + 1)) if terms else ():
-            owners = self.items.setdefault(tuple(terms[at : at + self.width]), set())
-            if item_id is not None:
-                owners.add(item_id)
+    def by_width(self) -> list[tuple[np.ndarray, list[list[int]]]]:
+        """(term numbers, a row a window; their owners) for each number of words."""
+        groups: dict[int, list] = {}
+        for window in self.items:
+            groups.setdefault(len(window), []).append(window)
+        return [(np.array(own, dtype=np.int32), [sorted(self.items[w]) for w in own]) for own in groups.values()]
 
 
 def chunks_of(benchmark: DataFrame, width: int, most: int) -> Iterator[Windows]:
-    chunk = Windows(width)
+    """Chunks of at most so many distinct windows; at least one chunk."""
+    chunk, any_chunk = Windows(), False
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        chunk.add(row.item_id, row.text)
-        if len(chunk.items) >= most:
-            yield chunk
-            chunk = Windows(width)
-    yield chunk
+        own = words((row.text or "").encode())
+        for at in range(max(1, len(own) - width + 1)) if own else ():
+            if len(chunk.items) >= most:
+                yield chunk
+                chunk, any_chunk = Windows(), True
+            owners = chunk.items.setdefault(tuple(map(chunk.vocabulary.__getitem__, own[at : at + width])), set())
+            if row.item_id is not None:
+                owners.add(row.item_id)
+    if chunk.items or not any_chunk:
+        yield chunk
 
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """Blocks of documents with the postings of the vocabulary's terms."""
+def build_index(docs: DataFrame) -> DataFrame:
+    """Blocks of documents with the postings of all their terms; terms are parted by blanks, which no word holds."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        get = vocabulary.get
-        ids, counts, found, at = [], [], [], 0
+        release()
+        ids, counts, found, at, numbers = [], [], [], 0, Numbers()
         block = TaskContext.get().partitionId() << 32
 
         def row():
-            nonlocal ids, counts, found, at, block
-            place = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
-            term = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int32)
+            nonlocal ids, counts, found, at, numbers, block
+            term = np.concatenate(found)
+            place = np.flatnonzero(term >= 0)
+            term = term[place]
             order = np.argsort(term, kind="stable")
-            terms, first = np.unique(term[order], return_index=True)
-            bounds = np.append(first, len(term)).astype(np.int64)
+            bounds = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(numbers))))).astype(np.int64)
             wide = np.int64 if at >= 1 << 31 else np.int32
-            data = [[block], [ids], [counts], [terms.astype(np.int32).tobytes()], [bounds.tobytes()], [place[order].astype(wide).tobytes()]]
-            ids, counts, found, at, block = [], [], [], 0, block + 1
+            data = [[block], [ids], [counts], [b" ".join(numbers)], [bounds.tobytes()], [place[order].astype(wide).tobytes()]]
+            ids, counts, found, at, numbers, block = [], [], [], 0, Numbers(), block + 1
             types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
             names = ["block", "doc_ids", "n_words", "terms", "bounds", "positions"]
             return pa.RecordBatch.from_arrays([pa.array(d, type=t) for d, t in zip(data, types)], names=names)
 
-        for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+        for batch in slices(batches):
+            texts = batch.column("text").cast(pa.large_binary())
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts):
-                own = words(text or b"")
-                known = np.fromiter((get(w, -1) for w in own), dtype=np.int32, count=len(own))
-                here = np.nonzero(known >= 0)[0]
+                own = words(text.as_py() or b"")
+                terms = np.empty(len(own) + 1, dtype=np.int32)
+                terms[:-1] = np.fromiter(map(numbers.__getitem__, own), dtype=np.int32, count=len(own))
+                terms[-1] = -1  # the gap
                 ids.append(doc_id)
                 counts.append(len(own))
-                found.append((here + at, known[here]))
-                at += len(own) + 1
+                found.append(terms)
+                at += len(terms)
                 if at >= BLOCK_WORDS or len(ids) >= BLOCK_DOCS:
                     yield row()
         if ids:
@@ -105,88 +123,121 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, INDEX)
 
 
-def _near(positions: np.ndarray, wanted: np.ndarray, slop: int) -> np.ndarray:
-    """Which wanted places have a posting within slop."""
-    at = np.searchsorted(positions, wanted - slop)
-    return (at < len(positions)) & (positions[np.minimum(at, len(positions) - 1)] <= wanted + slop)
-
-
-def search_block(terms, bounds, positions, windows: list[tuple[int, ...]], slop: int = 0) -> Iterator[tuple[int, np.ndarray]]:
-    """(number of the window, starts of its occurrences) in one block."""
-    lists = {int(t): positions[a:b] for t, a, b in zip(terms, bounds[:-1], bounds[1:])}
-    have = lists.keys()
-    for k, window in enumerate(windows):
-        if not all(t in have for t in window):
-            continue
-        rarest = sorted(range(len(window)), key=lambda i: len(lists[window[i]]))
-        starts = lists[window[rarest[0]]] - rarest[0]
-        for i in rarest[1:]:
-            starts = starts[_near(lists[window[i]], starts + i, slop)]
-            if not len(starts):
-                break
-        if len(starts):
-            yield k, starts
+class Block:
+    """The postings of one block, numbered by a benchmark's vocabulary."""
+
+    def __init__(self, terms: bytes, bounds: np.ndarray, positions: np.ndarray, length: int, vocabulary: dict[bytes, int]):
+        self.bounds, self.positions, self.size = bounds, positions, np.diff(bounds)
+        self.of = np.full(len(vocabulary) + 1, -1, dtype=np.int32)
+        for number, term in enumerate(terms.split()):
+            if (known := vocabulary.get(term)) is not None:
+                self.of[known] = number
+        self.at = np.full(length, -1, dtype=np.int32)  # the lists by position
+        self.at[positions] = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+
+    def near(self, terms: np.ndarray, wanted: np.ndarray, slop: int) -> np.ndarray:
+        """Which wanted places have a posting of their term within slop."""
+        out = np.zeros(len(wanted), dtype=bool)
+        for off in range(-slop, slop + 1):
+            place = wanted + off
+            inside = (place >= 0) & (place < len(self.at))
+            out[inside] |= self.at[place[inside]] == terms[inside]
+        return out
+
+    def search(self, windows: np.ndarray, slop: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row of the window, start) of occurrences, in parts."""
+        if not len(windows):
+            return
+        own = self.of[windows]
+        rows = np.flatnonzero((own >= 0).all(axis=1))
+        own = own[rows]
+        order = np.argsort(self.size[own], axis=1, kind="stable")
+        first = own[np.arange(len(own)), order[:, 0]] if len(own) else np.empty(0, np.int32)
+        sizes = self.size[first]
+        upto = np.cumsum(sizes)
+        a = 0
+        while a < len(rows):
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] - sizes[a] + PLACES, side="right")))
+            n = sizes[a:b]
+            window = np.repeat(np.arange(a, b), n)
+            nth = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
+            starts = self.positions[self.bounds[first[window]] + nth].astype(np.int64) - order[window, 0]
+            for i in range(1, windows.shape[1]):
+                off = order[window, i]
+                keep = self.near(own[window, off], starts + off, slop)
+                window, starts = window[keep], starts[keep]
+                if not len(starts):
+                    break
+            if len(starts):
+                yield rows[window], starts
+            a = b
 
 
 def search(index: DataFrame, chunk: Windows, slop: int = 0) -> DataFrame:
     """One row a document: its merged spans of hit words and the items that have a window there."""
-    windows = list(chunk.items)
-    owners = [sorted(chunk.items[w]) for w in windows]
+    groups, vocabulary = chunk.by_width(), dict(chunk.vocabulary)
+
+    def found(r: dict) -> tuple[np.ndarray, list, list]:
+        counts = np.array(r["n_words"], dtype=np.int64)
+        base = np.concatenate(([0], np.cumsum(counts + 1)))
+        wide = np.int64 if base[-1] >= 1 << 31 else np.int32
+        bounds, positions = np.frombuffer(r["bounds"], dtype=np.int64), np.frombuffer(r["positions"], dtype=wide)
+        block = Block(r["terms"], bounds, positions, int(base[-1]), vocabulary)
+        step = np.zeros(base[-1] + 1, dtype=np.int32)
+        items: dict[int, set[int]] = {}
+        for windows, owners in groups:
+            for window, starts in block.search(windows, slop):
+                stops = starts + windows.shape[1]
+                doc = np.searchsorted(base, starts, side="right") - 1
+                inside = (starts >= 0) & (stops <= base[doc] + counts[doc])  # slop may reach over a document's end
+                window, starts, stops, doc = window[inside], starts[inside], stops[inside], doc[inside]
+                np.add.at(step, starts, 1)
+                np.add.at(step, stops, -1)
+                for d, w in np.unique(np.stack([doc, window], axis=1), axis=0).tolist():
+                    items.setdefault(d, set()).update(owners[w])
+        covered = np.diff((np.cumsum(step) > 0).astype(np.int8), prepend=0)
+        first, last = np.nonzero(covered == 1)[0], np.nonzero(covered == -1)[0]
+        of = np.searchsorted(base, first, side="right") - 1
+        spans: dict[int, list] = {}
+        for d, a, b in zip(of.tolist(), first.tolist(), last.tolist()):
+            spans.setdefault(d, []).append({"start": a - int(base[d]), "stop": b - int(base[d])})
+        n = len(counts)
+        return counts, [spans.get(d, []) for d in range(n)], [sorted(items.get(d, ())) for d in range(n)]
 
     def run(batches):
+        release()
         for batch in batches:
-            for r in batch.to_pylist():
-                counts = np.array(r["n_words"], dtype=np.int64)
-                base = np.concatenate(([0], np.cumsum(counts + 1)))
-                wide = np.int64 if base[-1] >= 1 << 31 else np.int32
-                step = np.zeros(base[-1] + 1, dtype=np.int32)
-                items: dict[int, set[int]] = {}
-                postings = [np.frombuffer(r[c], dtype=d) for c, d in (("terms", np.int32), ("bounds", np.int64), ("positions", wide))]
-                for k, starts in search_block(*postings, windows, slop):
-                    stops = starts + len(windows[k])
-                    doc = np.searchsorted(base, starts, side="right") - 1
-                    inside = (starts >= 0) & (stops <= base[doc] + counts[doc])  # slop may reach over a document's end
-                    starts, stops, doc = starts[inside], stops[inside], doc[inside]
-                    np.add.at(step, starts, 1)
-                    np.add.at(step, stops, -1)
-                    for d in set(doc.tolist()):
-                        items.setdefault(d, set()).update(owners[k])
-                covered = np.diff((np.cumsum(step) > 0).astype(np.int8), prepend=0)
-                first, last = np.nonzero(covered == 1)[0], np.nonzero(covered == -1)[0]
-                of = np.searchsorted(base, first, side="right") - 1
-                spans: dict[int, list] = {}
-                for d, a, b in zip(of.tolist(), first.tolist(), last.tolist()):
-                    spans.setdefault(d, []).append({"start": a - int(base[d]), "stop": b - int(base[d])})
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
+                counts, spans, items = found(r)
                 n = len(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r["block"]] * n, pa.int64()),
-                        pa.array(range(n), pa.int32()),
-                        pa.array(r["doc_ids"], pa.int64()),
-                        pa.array(counts),
-                        pa.array([spans.get(d, []) for d in range(n)], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                        pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.int64())),
-                    ],
-                    names=["block", "ordinal", "doc_id", "n_words", "spans", "items"],
-                )
+                columns = [
+                    pa.array([r["block"]] * n, pa.int64()),
+                    pa.array(range(n), pa.int32()),
+                    pa.array(r["doc_ids"], pa.int64()),
+                    pa.array(counts),
+                    pa.array(spans, _SPANS),
+                    pa.array(items, pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "ordinal", "doc_id", "n_words", "spans", "items"])
 
     return index.mapInArrow(run, HITS)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 0) -> DataFrame:
     """One row a document: doc_id, n_words, spans (merged, from word 0, stop exclusive) and sorted items."""
-    found = None
-    for chunk in chunks_of(benchmark, width, MAX_WINDOWS):
-        index = written(build_index(docs, chunk.vocabulary), "postings")
-        part = search(index, chunk, slop)
-        if found is None:
-            found, several = part, False
-        else:
-            # The same documents give the same blocks, so (block, ordinal) names a row in every chunk.
-            found, several = found.union(part), True
-    if several:
+    index = written(build_index(docs), "postings")
+    chunks = chunks_of(benchmark, width, MAX_WINDOWS)
+    found, following = search(index, next(chunks), slop), next(chunks, None)
+    if following is not None:
+        # Each chunk's result is written before the next chunk is read, so the driver holds one chunk, and the one after it.
+        found = written(found, "hits")
+        while following is not None:
+            found = found.unionAll(written(search(index, following, slop).where(F.size("spans") > 0), "hits"))
+            following = next(chunks, None)
         found = found.groupBy("block", "ordinal", "doc_id", "n_words").agg(
-            F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+            F.flatten(F.collect_list("spans")).alias("spans"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         )
     return found.select("doc_id", "n_words", F.sort_array("spans").alias("spans"), "items")
 
@@ -205,26 +256,16 @@ def hit_words(spans) -> F.Column:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """docs without those that hold a window of the benchmark, by doc_id and text; all columns stay."""
-    from .common import text_hash
+    """docs without those that hold a window of the benchmark; all columns stay.
 
-    hit = _hit_keys(docs, benchmark, width)
-    full = docs.withColumn("_th", text_hash(F.col("text")))
-    kept = full.join(hit, full["doc_id"].eqNullSafe(hit["_hit_id"]) & (full["_th"] == hit["_hit_th"]), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def _hit_keys(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
-    """(_hit_id, _hit_th) of documents with a hit; rows of one id and different texts stay apart."""
-    from .common import text_hash
-
-    # The key column is any long: rows are searched under their text's hash, and joined back to their ids.
+    Texts are searched under their hash, so rows of one id and different texts stay apart."""
+    th, hit = fresh(docs, "_th", "_hit")
     by_hash = docs.select(text_hash(F.col("text")).alias("doc_id"), "text")
-    hashes = written(
-        matches(by_hash, benchmark, width).where(F.size("spans") > 0).select(F.col("doc_id").alias("_hash")).distinct(), "hits"
-    )
-    keys = docs.select(F.col("doc_id").alias("_hit_id"), text_hash(F.col("text")).alias("_hit_th"))
-    return keys.join(hashes, keys["_hit_th"] == hashes["_hash"], "left_semi").distinct()
+    spotted = matches(by_hash, benchmark, width).where(F.size("spans") > 0)
+    hits = written(spotted.select(F.col("doc_id").alias(hit)).distinct(), "hits")
+    full = docs.withColumn(th, text_hash(F.col("text")))
+    kept = full.join(small(hits, hits.count()), F.col(th) == F.col(hit), "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

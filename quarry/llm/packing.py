@@ -10,7 +10,8 @@ length splits one pattern's count and opens one at most, so there are at most 2
 each of at most sqrt(2 * max_len) distinct lengths.
 
 Defined cases: null or empty text has the end id alone; repeated rows are packed each; texts of any
-length are whole; an empty table gives an empty result; extra columns are ignored.
+length are whole; pieces alike in length, document, start and ids are ties that no column tells apart; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, map_texts, written
+from .common import gapless_rank, held, map_texts, written
 
 END_ID = 2
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
@@ -101,13 +102,8 @@ class Encoder:
                 yield self.full([text.decode()])[0] if b"<|" in text else b"".join(map(get, chunks))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(f"encoder {path}", lambda: Encoder(path))
 
 
 def cut(docs: DataFrame, tokenizer_path: str, max_len: int, end_id: int = END_ID) -> DataFrame:

@@ -67,5 +67,5 @@ def op6(docs: DataFrame) -> DataFrame:
         assign_shard(F.col("doc_id")).alias("shard"),
         assign_shard(F.col("doc_id"), NINE).alias("grown_shard"),
     )
-    ranked = gapless_rank(rows, "shard", ["doc_id", "size", "text_crc32"], "slot", buckets=1024)
+    ranked = gapless_rank(rows, "shard", ["doc_id", "size", "text_crc32"], "slot")
     return ranked.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
