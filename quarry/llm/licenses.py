@@ -1,230 +1,153 @@
 """License scans by ordered signature rules (native).
 
-Texts are reduced to lower-cased words with single blanks.  Each rule has a cue, a family keyword and a regular
-expression over words; a document is matched against a rule only if it holds both strings.  Matches
-become (start word, end word, label, priority) rows; rows contained in an earlier, wider or
-equal one of better priority are suppressed in a streaming window, and of two that overlap in part the worse priority goes.
-Rules are made from FAMILIES and TEMPLATES; their order is their priority.
-
-Defined cases: null or empty text has no words and no labels; rows with equal doc_id and text get the
-same labels; very long texts are whole (matches are found by word, and the window spills); extra columns are ignored;
-an empty table gives an empty result.
+Texts are reduced to lower-cased words.  Each rule of :mod:`.license_rules` is gated by a keyword: where a text holds the word, the
+words around it are cut out, REACH to either side, and the keyword's rules are matched against that window, each match holding
+the keyword at its place.  So no rule runs over a whole text, and every place of a keyword is tried.
+
+Overlapping detections are resolved within a document in order of priority, longer ones first among equals, then from the
+left: a detection stays if it neither overlaps one that stays nor is contained in it.  Detections further apart than any match
+is long can't meet, so they are resolved in groups.  Base phrases are found by the same way, are all reported and suppress nothing.
+
+A document is scanned, resolved and summed up in its own row: no shuffle, no join, and its lists are as long as its text at most.
+
+Defined cases: null or empty text has no words and no labels; repeated rows are scanned each; very long texts are whole; detections
+alike in priority, length and place are one; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, text_hash
-
-#: Phrases that are always found, with their labels.
-BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-
-_V = "(?:version |v )?"
-#: (label, keyword, name as a regular expression over words, tag words), the more special first.
-FAMILIES = (
-    ("apache-2", "apache", f"apache(?: software)?(?: license| licence)? {_V}2(?: 0)?", "apache 2 0"),
-    ("apache-1.1", "apache", f"apache(?: software)?(?: license| licence)? {_V}1 1", "apache 1 1"),
-    ("apache", "apache", "apache(?: software)?", "apache"),
-    ("agpl-3", "affero", f"(?:gnu )?affero general public(?: license| licence)? {_V}3(?: 0)?", "agpl 3 0(?: only| or later)?"),
-    ("agpl-3", "agpl", f"(?:gnu )?agpl ?{_V}3(?: 0)?", "agpl 3 0(?: only| or later)?"),
-    ("lgpl-3", "lesser", f"(?:gnu )?lesser general public(?: license| licence)? {_V}3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
-    ("lgpl-2.1", "lesser", f"(?:gnu )?lesser general public(?: license| licence)? {_V}2 1", "lgpl 2 1(?: only| or later)?"),
-    ("lgpl", "lgpl", f"(?:gnu )?lgpl(?: {_V}[23](?: [01])?)?", "lgpl(?: [23] [01])?(?: only| or later)?"),
-    ("lgpl", "lesser", "(?:gnu )?lesser general public", "lgpl"),
-    ("gpl-3", "general", f"(?:gnu )?general public(?: license| licence)? {_V}3(?: 0)?", "gpl 3 0(?: only| or later)?"),
-    ("gpl-2", "general", f"(?:gnu )?general public(?: license| licence)? {_V}2(?: 0)?", "gpl 2 0(?: only| or later)?"),
-    ("gpl-3", "gpl", f"(?:gnu )?gpl {_V}3(?: 0)?", "gpl 3 0(?: only| or later)?"),
-    ("gpl-2", "gpl", f"(?:gnu )?gpl {_V}2(?: 0)?", "gpl 2 0(?: only| or later)?"),
-    ("gpl", "general", "(?:gnu )?general public", "gpl"),
-    ("gpl", "gpl", "(?:gnu )?gpl", "gpl"),
-    ("gfdl", "documentation", f"(?:gnu )?free documentation(?: license| licence)?(?: {_V}1(?: [0-3])?)?", "gfdl 1 [1-3]"),
-    ("mit-0", "mit", "mit (?:0|no attribution)", "mit 0"),
-    ("mit", "mit", "mit(?: x11| expat)?", "mit"),
-    ("mit", "expat", "expat", "mit"),
-    ("x11", "x11", "x11", "x11"),
-    ("x11", "consortium", "x consortium", "x11"),
-    ("bsd-4-clause", "bsd", "(?:4 clause|four clause|original|old) bsd|bsd (?:4|four) clause", "bsd 4 clause"),
-    ("bsd-3-clause", "bsd", "(?:3 clause|three clause|new|modified|revised) bsd|bsd (?:3|three) clause", "bsd 3 clause"),
-    ("bsd-2-clause", "bsd", "(?:2 clause|two clause|simplified) bsd|bsd (?:2|two) clause", "bsd 2 clause"),
-    ("bsd-2-clause", "freebsd", "freebsd", "bsd 2 clause"),
-    ("0bsd", "bsd", "(?:zero clause|0 clause) bsd|bsd (?:zero|0) clause", "0bsd"),
-    ("bsd", "bsd", "(?:berkeley )?bsd(?: style)?", "bsd"),
-    ("isc", "isc", "isc", "isc"),
-    ("mpl-2", "mozilla", f"mozilla public(?: license| licence)? {_V}2(?: 0)?", "mpl 2 0"),
-    ("mpl-1.1", "mozilla", f"mozilla public(?: license| licence)? {_V}1 1", "mpl 1 1"),
-    ("mpl", "mpl", f"mpl(?: {_V}[12](?: [01])?)?", "mpl [12] [01]"),
-    ("mpl", "mozilla", "mozilla public", "mpl"),
-    ("epl-2", "eclipse", f"eclipse public(?: license| licence)? {_V}2(?: 0)?", "epl 2 0"),
-    ("epl-1", "eclipse", f"eclipse public(?: license| licence)?(?: {_V}1(?: 0)?)?", "epl 1 0"),
-    ("cddl", "cddl", f"cddl(?: {_V}1 [01])?", "cddl 1 [01]"),
-    ("cddl", "distribution", "common development and distribution", "cddl 1 [01]"),
-    ("artistic-2", "artistic", f"artistic(?: license| licence)? {_V}2(?: 0)?", "artistic 2 0"),
-    ("artistic", "artistic", "(?:perl |clarified )?artistic", "artistic 1 0"),
-    ("boost-1", "boost", f"boost(?: software)?(?: license| licence)?(?: {_V}1(?: 0)?)?", "bsl 1 0"),
-    ("zlib", "zlib", "zlib(?: libpng)?", "zlib"),
-    ("python-2", "python", f"python(?: software foundation)?(?: license| licence)?(?: {_V}2(?: 0)?)?", "python 2 0"),
-    ("wtfpl", "wtfpl", f"wtfpl(?: {_V}2(?: 0)?)?", "wtfpl"),
-    ("unlicense", "unlicense", "unlicense", "unlicense"),
-    ("eupl", "eupl", f"eupl(?: {_V}1 [12])?", "eupl 1 [12]"),
-    ("eupl", "union", f"european union public(?: license| licence)?(?: {_V}1 [12])?", "eupl 1 [12]"),
-    ("ofl-1.1", "font", f"(?:sil )?open font(?: license| licence)?(?: {_V}1 1)?", "ofl 1 1"),
-    ("ms-pl", "microsoft", "microsoft public", "ms pl"),
-    ("odbl", "database", f"open (?:data commons open )?database(?: license| licence)?(?: {_V}1(?: 0)?)?", "odbl 1 0"),
-    ("cc0", "cc0", f"(?:creative commons )?cc0(?: {_V}1(?: 0)?)?(?: universal)?", "cc0 1 0"),
-    ("cc-by-nc-nd", "cc", f"cc by nc nd(?: {_V}[1-4] [05])?", "cc by nc nd [1-4] [05]"),
-    ("cc-by-nc-sa", "cc", f"cc by nc sa(?: {_V}[1-4] [05])?", "cc by nc sa [1-4] [05]"),
-    ("cc-by-nc", "cc", f"cc by nc(?: {_V}[1-4] [05])?", "cc by nc [1-4] [05]"),
-    ("cc-by-nd", "cc", f"cc by nd(?: {_V}[1-4] [05])?", "cc by nd [1-4] [05]"),
-    ("cc-by-sa", "cc", f"cc by sa(?: {_V}[1-4] [05])?", "cc by sa [1-4] [05]"),
-    ("cc-by", "cc", f"cc by(?: {_V}[1-4] [05])?", "cc by [1-4] [05]"),
-    ("cc-by-nc-sa", "commons", f"creative commons attribution noncommercial share ?alike(?: {_V}[1-4] [05])?", "cc by nc sa"),
-    ("cc-by-nc", "commons", f"creative commons attribution non ?commercial(?: {_V}[1-4] [05])?", "cc by nc"),
-    ("cc-by-sa", "commons", f"creative commons attribution share ?alike(?: {_V}[1-4] [05])?", "cc by sa"),
-    ("cc-by", "commons", f"creative commons attribution(?: {_V}[1-4] [05])?", "cc by"),
-)
-
-_GIVEN = "(?:licensed|released|distributed|available|published|provided|redistributed|made available|offered)"
-_WORD = "(?:license|licence|licenses|licences)"
-#: (name, cue, expression with {name} or {tag}, confidence).  A cue is a string that every match holds.
-TEMPLATES = (
-    ("tag", "spdx", "spdx license identifier {tag}", 1.0),
-    ("grant", " under ", _GIVEN + " under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:{name})(?: " + _WORD + ")?", 1.0),
-    ("use", " under ", "(?:use|used|covered|governed|permitted) (?:it )?under (?:the )?(?:terms of (?:the )?)?(?:{name})(?: " + _WORD + ")?", 0.9),
-    ("terms", " terms ", "under (?:the )?terms (?:and conditions )?of (?:the )?(?:{name})(?: " + _WORD + ")?", 0.9),
-    ("title", "licen", "(?:the )?(?:{name}) " + _WORD + "(?: (?:version |v )?[0-9](?: [0-9])?)?", 0.8),
-    ("field", "licen", _WORD + " (?:is |type |name |the )?(?:{name})", 0.6),
-)
-_BARE = (
-    ("public-domain", "domain", "(?:in|into|to) the public domain", 0.8),
-    ("all-rights-reserved", "rights", "all rights (?:are )?reserved", 0.6),
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 1.0),
-    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose", 1.0),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification", 1.0),
-    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 1.0),
-    ("zlib", "altered", "altered source versions must be plainly marked as such", 1.0),
-    ("proprietary", "proprietary", "proprietary and (?:proprietary|confidential)|confidential and proprietary", 0.6),
-    ("proprietary", "confidential", "confidential and confidential", 0.6),
-)
+from .license_rules import Rule, rules
 
+#: Words of a window on either side of the keyword; no signature reaches as far.
+REACH = 32
+_MARK = "\x01"
+_SPAN = "struct<prio:int,shorter:int,start:int,stop:int,label:string,confidence:double>"
 
-def rules() -> list[dict]:
-    """All rules, best priority first: base phrases, whole statements, then templates by family."""
-    out = [dict(label=label, cue=f" {p} ", kw=f" {p} ", regex=p, confidence=1.0, base=True) for p, label in BASE]
-    out += [dict(label=label, cue=f" {kw} ", kw=f" {kw} ", regex=rx, confidence=c, base=False) for label, kw, rx, c in _BARE]
-    for _, cue, shape, confidence in TEMPLATES:
-        for label, kw, name, tag in FAMILIES:
-            # A tag is written with the license's short name, which need not hold the family's keyword.
-            key = " spdx " if "{tag}" in shape else f" {kw}"
-            regex = shape.replace("{name}", name).replace("{tag}", tag)
-            out.append(dict(label=label, cue=cue, kw=key, regex=regex, confidence=confidence, base=False))
-    for k, r in enumerate(out):
-        r["prio"] = k
-        r["regex"] = f"(?<![^ ])(?:{r['regex']})(?![^ ])"
-    return out
-
-
-def normalised(text: Column) -> Column:
-    """Words with single blanks and one blank at either end."""
-    one = F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    return F.concat(F.lit(" "), F.btrim(one), F.lit(" "))
-
-
-def with_words(docs: DataFrame) -> DataFrame:
-    """doc_id, _th and s, the normalised text.  The generator keeps the optimizer from repeating s in each expression that uses it."""
-    return docs.select("doc_id", text_hash(F.col("text")).alias("_th"), "text").select(
-        "doc_id", "_th", F.explode(F.array(normalised(F.col("text")))).alias("s")
-    )
 
+def words_of(text: Column) -> Column:
+    """Lower-cased words.  ``lower`` makes an ASCII letter of the Kelvin sign alone, which is put aside."""
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("·"))
+    return F.array_remove(F.split(F.lower(plain), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
-def n_words(norm: Column) -> Column:
-    blanks = F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit("")))
-    return F.when(norm == "  ", F.lit(0)).otherwise(blanks - 1).cast("long")
 
+def expression(rule: Rule) -> str:
+    """The rule's Java expression over a window, in which the keyword carries a mark."""
+    return f"(?<![^ ])(?:{rule.regex.replace('@', _MARK)})(?![^ ])"
 
-def _literals(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values))
 
+def _blanks(s: Column) -> Column:
+    return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
-def detections(docs: DataFrame) -> DataFrame:
-    """(doc_id, _th, start, stop, label, prio, confidence, base) of every match, before suppression; stop is the last word."""
-    every = rules()
-    cues = list(dict.fromkeys(r["cue"] for r in every))
-    kws = list(dict.fromkeys(r["kw"] for r in every))
-    kind = "array<struct<label:string,cue:string,kw:string,regex:string,confidence:double,base:boolean,prio:int>>"
-    table = F.from_json(F.lit(json.dumps(every)), kind)  # folded into one literal
-    # Cues and keywords are plain words and blanks, so they make a regular expression as they are.
-    held = with_words(docs).where(F.col("s").rlike("|".join(cues)))
-    holds = lambda values: F.filter(_literals(values), lambda c: F.contains(F.col("s"), c))
-    held = held.select("doc_id", "_th", "s", F.explode(F.array(F.struct(holds(cues).alias("cues"), holds(kws).alias("kws")))).alias("x"))
-    held = held.select("doc_id", "_th", "s", "x.cues", "x.kws")
-    fits = lambda r: (
-        F.array_contains(F.col("cues"), r["cue"]) & F.array_contains(F.col("kws"), r["kw"]) & F.rlike(F.col("s"), r["regex"])
-    )
-    matched = held.select("doc_id", "_th", "s", F.explode(F.filter(table, fits)).alias("r"))
-    marked = F.regexp_replace(F.btrim("s"), F.col("r.regex"), F.lit("\u0001$0\u0002"))
-    words = F.split(marked, " ")
-    at = lambda mark: F.filter(
-        F.transform(F.col("w"), lambda w, i: F.when(mark(w), i)), lambda i: i.isNotNull()
-    )
-    spans = matched.select("doc_id", "_th", "r", words.alias("w")).select(
-        "doc_id",
-        "_th",
-        "r",
-        F.explode(
-            F.arrays_zip(at(lambda w: w.startswith("\u0001")).alias("start"), at(lambda w: w.endswith("\u0002")).alias("stop"))
-        ).alias("x"),
-    )
-    return spans.select("doc_id", "_th", "x.start", "x.stop", "r.label", "r.prio", "r.confidence", "r.base")
 
+def _window(w: Column, i: Column) -> Column:
+    left = F.slice(w, F.greatest(i - REACH, F.lit(0)) + 1, F.least(i, F.lit(REACH)))
+    right = F.slice(w, i + 1, F.lit(REACH + 1))
+    return F.concat(F.lit(" "), F.array_join(left, " "), F.lit(f" {_MARK}"), F.array_join(right, " "), F.lit(" "))
 
-def suppressed(found: DataFrame) -> DataFrame:
-    """Detections that stay, and all base ones; kept tells the former."""
-    order = Window.partitionBy("doc_id", "_th").orderBy("start", F.desc("stop"), "prio")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    inside = found.withColumn("_upto", F.max("stop").over(before)).withColumn(
-        "kept", F.col("_upto").isNull() | (F.col("_upto") < F.col("stop"))
-    )
-    # Next to each other among those not contained; contained ones keep a place of their own.
-    beside = Window.partitionBy("doc_id", "_th", "kept").orderBy("start", F.desc("stop"), "prio")
-    worse = ((F.lag("stop").over(beside) >= F.col("start")) & (F.lag("prio").over(beside) < F.col("prio"))) | (
-        (F.lead("start").over(beside) <= F.col("stop")) & (F.lead("prio").over(beside) < F.col("prio"))
-    )
-    return inside.withColumn("kept", F.col("kept") & ~F.coalesce(worse, F.lit(False))).drop("_upto")
 
+def _spans(w: Column, i: Column, by_keyword: dict[str, list[Rule]]) -> Column:
+    """Detections at the keyword in place i."""
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """One row a document: n_words, base and method labels as sorted arrays, base places and score."""
-    labels = (
-        suppressed(detections(docs))
-        .groupBy("doc_id", "_th")
-        .agg(
-            F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"),
-            F.max(F.when(F.col("base"), F.col("start"))).alias("last_word"),
-            F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))).alias("base_labels"),
-            F.array_sort(F.collect_set(F.when(F.col("base") | F.col("kept"), F.col("label")))).alias("labels"),
-            F.max(F.when(F.col("base") | F.col("kept"), F.col("confidence"))).alias("score"),
-            # Rows of one doc_id and text are matched each; all find the same places.
-            F.count_distinct(F.when(F.col("base"), F.struct("start", "label"))).alias("n_base"),
-        )
-        .withColumnsRenamed({"doc_id": "_id", "_th": "_t"})
+    def matched(x: Column) -> Column:
+        out = F
+        for keyword, own in by_keyword.items():
+            tried = [(F.regexp_extract(x["s"], expression(r), 0), F.lit(r.prio), F.lit(r.label), F.lit(r.confidence)) for r in own]
+            found = F.array(*[F.struct(m.alias("m"), p.alias("prio"), n.alias("label"), c.alias("confidence")) for m, p, n, c in tried])
+            out = out.when(x["k"] == keyword, F.filter(found, lambda y: y["m"] != ""))
+        return out
+
+    def span(x: Column) -> Column:
+        size = _blanks(x["m"])
+        start = i - _blanks(F.substring_index(x["m"], _MARK, 1))
+        return F.struct(
+            x["prio"].alias("prio"), (-size).alias("shorter"), start.alias("start"), (start + size).alias("stop"), x["label"].alias("label"), x["confidence"].alias("confidence")
+        )
+
+    at = F.array(F.struct(F.get(w, i).alias("k"), _window(w, i).alias("s")))
+    return F.transform(F.flatten(F.transform(at, matched)), span)
+
+
+def detections(w: Column, some: list[Rule]) -> Column:
+    """Sorted spans (stop is the last word) of the rules' matches in a column of words."""
+    by_keyword: dict[str, list[Rule]] = {}
+    for r in some:
+        by_keyword.setdefault(r.keyword, []).append(r)
+    places = F.filter(F.transform(w, lambda x, i: F.when(x.isin(*by_keyword), i)), lambda i: i.isNotNull())
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform(places, lambda i: _spans(w, i, by_keyword)))))
+    return F.when(F.arrays_overlap(w, F.array(*map(F.lit, by_keyword))), found).otherwise(F.array()).cast(f"array<{_SPAN}>")
+
+
+def resolved(spans: Column) -> Column:
+    """The spans that stay, of spans in order of priority, length and place."""
+    by_start = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x.alias("x"))))
+    # By start, spans that lie further apart than the longest possible match part the groups.
+    first = lambda m: F.filter(
+        F.transform(m, lambda x, i: F.when((i == 0) | (x["start"] - F.get(m, i - 1)["start"] > 2 * REACH + 1), i)), lambda i: i.isNotNull()
     )
-    rows = with_words(docs).select("doc_id", "_th", n_words(F.col("s")).alias("n_words"))
-    return rows.join(labels, rows["doc_id"].eqNullSafe(labels["_id"]) & (rows["_th"] == labels["_t"]), "left").drop("_id", "_t", "_th")
 
+    def stay(group: Column) -> Column:
+        free = lambda kept, x: ~F.exists(kept, lambda y: (y["start"] <= x["stop"]) & (x["start"] <= y["stop"]))
+        none = F.array().cast(f"array<{_SPAN}>")
+        return F.aggregate(F.array_sort(F.transform(group, lambda g: g["x"])), none, lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
 
-def op8(docs: DataFrame) -> DataFrame:
-    joined = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
-    return scanned(docs).select(
+    def groups(m: Column) -> Column:
+        bounds = F.transform(F.array(first(m)), lambda b: F.transform(b, lambda at, j: F.slice(m, at + 1, F.coalesce(F.get(b, j + 1), F.size(m)) - at)))
+        return F.flatten(F.transform(F.flatten(bounds), stay))
+
+    return F.flatten(F.transform(F.array(by_start), groups))
+
+
+def _once(df: DataFrame, name: str, made: Column) -> DataFrame:
+    """Adds a column.  The generator keeps the optimizer from repeating it in each expression that uses it."""
+    return df.select("*", F.explode(F.array(made)).alias(name))
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """One row a document: doc_id, n_words, base places and labels, labels, score, and the base and remaining detections."""
+    every = rules()
+    df = _once(docs.select("doc_id", "text"), "w", words_of(F.col("text"))).drop("text")
+    df = _once(df, "found", detections(F.col("w"), every))
+    df = df.select("doc_id", F.size("w").cast("long").alias("n_words"), "found")
+    n_base = sum(r.base for r in every)
+    df = df.withColumn("base", F.filter("found", lambda x: x["prio"] < n_base))
+    df = _once(df, "kept", resolved(F.filter(F.col("found"), lambda x: x["prio"] >= n_base)))
+    starts, both = F.transform("base", lambda x: x["start"].cast("long")), F.concat("base", "kept")
+    labels = lambda spans: F.array_sort(F.array_distinct(F.transform(spans, lambda x: x["label"])))
+    return df.select(
         "doc_id",
         "n_words",
-        F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
-        F.col("first_word").cast("long").alias("first_word"),
-        F.col("last_word").cast("long").alias("last_word"),
-        joined("base_labels").alias("base_labels"),
-        joined("labels").alias("labels"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(F.col("base")).alias("base_labels"),
+        labels(both).alias("labels"),
+        F.coalesce(F.array_max(F.transform(both, lambda x: x["confidence"])), F.lit(0.0)).alias("score"),
+        "base",
+        "kept",
     )
+
+
+def op8(docs: DataFrame) -> DataFrame:
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return scanned(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels"), joined("labels"), "score")
+
+
+_W = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: Base columns of op8 (the method's labels and score aren't SQL).
+BASE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_W} AS w FROM documents),
+p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+h AS (
+  SELECT r, i - 1 AS place, 'mit' AS label FROM p WHERE w[i : i + 3] = ['under', 'the', 'mit', 'license']
+  UNION ALL SELECT r, i - 1, 'apache-2' FROM p WHERE w[i : i + 3] = ['apache', 'license', 'version', '2']
+  UNION ALL SELECT r, i - 1, 'cc-by-nc' FROM p WHERE w[i : i + 2] = ['cc', 'by', 'nc']
+),
+g AS (
+  SELECT r, count(*) AS n, min(place) AS first, max(place) AS last, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first AS first_word, last AS last_word, coalesce(labels, '') AS base_labels
+FROM d LEFT JOIN g ON d.r = g.r
+"""
