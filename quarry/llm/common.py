@@ -180,3 +180,14 @@ def map_texts(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
             yield pa.RecordBatch.from_arrays([pa.array(v, type=t.type) for v, t in zip(got, out)], schema=out)
 
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def sampled(docs: DataFrame, labels: DataFrame, column: str, fit_docs: int, fit_chars: int) -> list[tuple[str, object]]:
+    """(text, label) of at most fit_docs documents of at most fit_chars characters: those whose id hashes least, one row an id.
+
+    Of an id's repeated rows the least text and the greatest label count.  Ids are chosen first, so texts don't meet in a sort."""
+    able = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(column).alias("_label"))
+    chosen = able.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs).groupBy("doc_id").agg(F.max("_label").alias("_label"))
+    texts = docs.where(F.length("text") <= fit_chars).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_label").alias("label")).collect()
+    return sorted((r.text, r.label) for r in rows)

@@ -34,8 +34,13 @@ QUERIES = {
     "op8_licenses": lambda s, d: licenses.op8(_docs(s, d)),
     "op9_decontaminate": lambda s, d: decontaminate.op9(_docs(s, d), table(s, d, "benchmark")),
     "op10_quality": lambda s, d: quality.op10(_docs(s, d), table(s, d, "labels")),
+    # What SQL can express of op8 and op10: their base columns, through the same operators.
+    "base_licenses": lambda s, d: licenses.op8(_docs(s, d)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"),
+    "base_quality": lambda s, d: quality.op10(_docs(s, d), table(s, d, "labels")).select(*quality.BASE_COLUMNS),
 }
 SQL = {
+    "base_licenses": licenses.BASE_SQL,
+    "base_quality": quality.BASE_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
