@@ -1,17 +1,21 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A token that may be disguised (digits or signs among letters, a letter three times in a row, letters one by one) opens a
-lattice of what each character may stand for, what may be dropped and which repeats may collapse; Viterbi decoding under a
-character trigram model, with a price for each change, finds the likeliest plain word.  Texts are then scored on restored
-words, their beginnings and stems: a stem counts where two different tokens or more, and one in SHARE of the different tokens
-of the text or of the stretch from one of them to the next, begin with it, so a passage scores alike in a short and a very long text.  A feature's weight is the lower bound of its precision among labelled documents, near copies counting as one, and
-the strongest feature decides (a text is as toxic as its worst word).  A word that is much weaker evidence than its own stem counts by the stem alone.
-
-The model is fitted on at most FIT_DOCS labelled documents (those whose id hashes least); the bound concerns the
-fit alone.
-
-Defined cases: null, empty or wordless text scores the base rate; repeated rows are scored each; very long texts
-are whole; without labels every score is 0; extra columns are ignored by :func:`scored` and kept by :func:`drop_toxic`.
+A token that may be disguised (digits or signs among letters, a letter three times in a row, letters or chunks of letters that stand
+apart, a doubled letter or a word run into others) opens a lattice of what each character may stand for, what may be dropped, which
+repeats may collapse and where words may end; Viterbi decoding under a character trigram model, with a price for each change,
+finds the likeliest plain words.  Texts are then scored on restored words and their stems: a stem counts where two different tokens
+or more, and one in SHARE of the different tokens of the text or of the stretch from one of them to the next, begin with it, so a
+passage scores alike in a short and a very long text.  A feature's weight is the lower bound of its precision among labelled documents,
+near copies counting as one, and the strongest feature decides (a text is as toxic as its worst word).  A word that is much weaker
+evidence than its own stem counts by the stem alone.
+
+The character model counts the words of all documents.  Letters beyond the Latin alphabets, for which no sign stands, are one class in
+it, which bounds its table by the alphabet's third power.  The weights are fitted on at most FIT_DOCS labelled documents of at
+most FIT_CHARS characters (those whose id hashes least); the bound concerns the weights alone.
+
+Defined cases: null, empty or wordless text scores the base rate; repeated rows are scored each; an id's repeated labels count once, the
+greatest; very long texts are whole; equally likely readings count alike; without labels every score is 0; an empty documents table
+gives an empty result; extra columns are ignored by :func:`scored` and kept by :func:`drop_toxic`.
 """
 
 from __future__ import annotations
@@ -27,10 +31,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, shared
+from .common import map_texts, sampled, shared, slices
 from .language_id import held_out
 
-FIT_DOCS, THRESHOLD = 6000, 0.7
+FIT_DOCS, FIT_CHARS, THRESHOLD = 6000, 200_000, 0.7
 SCHEMA = "doc_id long, score double"
 STEM_LENGTHS, STEM_TOKENS, SHARE, STEM_LEAD = range(3, 8), 2, 100, 0.05
 BANDS, BAND_ROWS = 12, 4
@@ -56,21 +60,31 @@ LEET = {
 }
 _EDGE = " \t\n\x0b\x0c\r.,;:?\"'()[]{}<>|*#&%_-~`!"
 _REPEAT = re.compile(r"(.)\1\1")
+_DOUBLE = re.compile(r"(.)\1")
 LETTER_PRICE, DROP_PRICE, MARGIN = -1.0, -0.5, 5.0
+#: A chunk has at most so many letters; a chunk is a word of its own if it is one in so many of all words.
+CHUNK, CHUNK_SHARE = 3, 100_000
+#: Words that are looked for inside others, and those others, have so many letters at least.
+INNER, OUTER = 5, 8
+
+
+_BEYOND = re.compile("[^\x00-\u024f]")
+
+
+def folded(text: str) -> str:
+    """Letters beyond the Latin alphabets as one class."""
+    return text if text.isascii() else _BEYOND.sub("\u0250", text)
 
 
 class CharModel:
-    """Interpolated character trigrams of words, ^ and $ as ends."""
-
-    def __init__(self, counts: Counter):
-        one, two, three = Counter(), Counter(), Counter()
-        for w, n in counts.items():
-            s = f"^^{w}$"
-            for i in range(2, len(s)):
-                one[s[i]] += n
-                two[s[i - 1 : i + 1]] += n
-                three[s[i - 2 : i + 1]] += n
-        self.one, self.two, self.three = dict(one), dict(two), dict(three)
+    """Interpolated character trigrams of words, ^ and $ as ends, from their counts; chunks are short words that are often words."""
+
+    def __init__(self, three: dict[str, int], chunks: frozenset[str] = frozenset()):
+        one, two = Counter(), Counter()
+        for g, n in three.items():
+            one[g[2]] += n
+            two[g[1:]] += n
+        self.one, self.two, self.three, self.chunks = dict(one), dict(two), dict(three), chunks
         left, left2 = Counter(), Counter()
         for g, n in three.items():
             left2[g[:2]] += n
@@ -84,12 +98,13 @@ class CharModel:
 
     def log(self, gram: str) -> float:
         if (got := self.memo.get(gram)) is None:
+            asked, gram = gram, folded(gram)
             p1 = (self.one.get(gram[2], 0) + 0.01) / self.all
             p2 = (self.two.get(gram[1:], 0) + 8 * p1) / (self.left.get(gram[1], 0) + 8)
             p3 = (self.three.get(gram, 0) + 4 * p2) / (self.left2.get(gram[:2], 0) + 4)
             if len(self.memo) > 100_000:
                 self.memo.clear()
-            got = self.memo[gram] = math.log(p3)
+            got = self.memo[asked] = math.log(p3)
         return got
 
 
@@ -157,33 +172,47 @@ def disguised(token: str) -> bool:
     return not token.isalpha() or bool(_REPEAT.search(token))
 
 
-def raw_tokens(text: str) -> list[str]:
-    """Lower-cased blank-separated tokens; three or more single characters in a row come as one, with its blanks."""
-    out, run = [], []
-
-    def close():
-        if len(run) >= 3:
-            out.append(" ".join(run))
-        else:
-            out.extend(run)
-        run.clear()
-
-    for token in text.lower().split():
-        if len(token) == 1:
-            run.append(token)
-        elif len(token) <= 3 and len(bare := token.strip(_EDGE)) == 1:
-            run.append(bare)
-        else:
-            if run:
-                close()
-            out.append(token)
-    close()
-    return out
-
-
-def _features(word: str) -> tuple[str, ...]:
-    """A word, and its first five characters with the number of those after."""
-    return (word, f"{word[:5]}~{len(word) - 5}") if len(word) > 5 else (word,)
+class Tokens:
+    """Lower-cased blank-separated tokens of a text; single characters and chunks of letters in a row come as one, with its blanks.
+
+    Chunks that are words of their own, by the character model, are left alone."""
+
+    def __init__(self, chunks: frozenset[str], most: int = 50_000):
+        self.chunks, self.most = chunks, most
+        self.bare: dict[str, str | None] = {}
+
+    def chunk(self, token: str) -> str | None:
+        """The character or chunk that a token is, else None."""
+        bare = token if len(token) == 1 else token.strip(_EDGE)
+        if len(bare) != 1 and not (1 < len(bare) <= CHUNK and bare.isalpha() and bare not in self.chunks):
+            bare = None
+        if len(self.bare) >= self.most:
+            self.bare.clear()
+        self.bare[token] = bare
+        return bare
+
+    def of(self, text: str) -> list[str]:
+        tokens = text.lower().split()
+        get, chunk = self.bare.get, self.chunk
+        found = [(i, bare) for i, t in enumerate(tokens) if len(t) <= CHUNK + 2 and (bare := get(t, "") or (None if t in self.bare else chunk(t)))]
+        if len(found) < 2:
+            return tokens
+        out, done, first = [], 0, 0
+        for k in range(1, len(found) + 1):
+            if k < len(found) and found[k][0] == found[k - 1][0] + 1:
+                continue
+            run = [bare for _, bare in found[first:k]]
+            if len(run) >= 3 or len(run) == 2 and len(run[0]) + len(run[1]) > CHUNK:
+                out += tokens[done : found[first][0]]
+                out.append(" ".join(run))
+                done = found[k - 1][0] + 1
+            first = k
+        return out + tokens[done:] if done else tokens
+
+
+def squeezed(word: str) -> str:
+    """Every doubled letter once."""
+    return _DOUBLE.sub(r"\1", word)
 
 
 def _stems(word: str) -> tuple[str, ...]:
@@ -218,10 +247,15 @@ def _near(places: Iterable[tuple[int, str, str]], ends: list[int], different: in
     return out | {stem for stem, own in found.items() if len(own) >= STEM_TOKENS and len(own) * SHARE >= different}
 
 
-def _recurring(words: list[tuple[int, str, str]], tokens: list[str]) -> set[str]:
-    """Stems that recur, from (place, token, word); a longer stem's words are among a shorter one's."""
-    out, live, ends, different = set(), words, _stretches(tokens), len(set(tokens))
+def _recurring(words: list[tuple[int, str, str]], tokens: list[str], among: set[str] | None = None) -> set[str]:
+    """Stems that recur, from (place, token, word); a longer stem's words are among a shorter one's, also of those asked for."""
+    out, live, ends, different = set(), words, None, len(set(tokens))
     for n in STEM_LENGTHS:
+        if among is not None:
+            live = [x for x in live if f"{x[2][:n]}*" in among]
+        if not live:
+            break
+        ends = ends or _stretches(tokens)
         good = _near(((at, t, w[:n]) for at, t, w in live if len(w) >= n), ends, different)
         out.update(f"{p}*" for p in good)
         live = [x for x in live if x[2][:n] in good]
@@ -229,21 +263,38 @@ def _recurring(words: list[tuple[int, str, str]], tokens: list[str]) -> set[str]
 
 
 class Model:
-    def __init__(self, chars: CharModel, weight: dict[str, float], base: float, cache_words: int = 60_000):
-        self.chars, self.weight, self.base, self.most = chars, weight, base, cache_words
+    """known: words seen plain among the labelled documents, which need no restoring."""
+
+    def __init__(self, chars: CharModel, weight: dict[str, float], base: float, known: frozenset[str] = frozenset(), cache_words: int = 50_000):
+        self.chars, self.weight, self.base, self.known, self.most = chars, weight, base, known, cache_words
         self.cache: dict[str, tuple[float, tuple[str, ...]]] = {}
+        self.tokens = Tokens(chars.chunks)
+        self.starts = {f[: STEM_LENGTHS[0]] for f in weight if f[-1] == "*"}
+        own = sorted(f for f in weight if f[-1] != "*")
+        self.by_squeezed: dict[str, list[str]] = {}
+        for w in own:
+            self.by_squeezed.setdefault(squeezed(w), []).append(w)
+        inner = [re.escape(w) for w in own if len(w) >= INNER]
+        self.inner = re.compile("|".join(inner)) if inner else None
         self.uid = uuid.uuid4().hex
 
     def __reduce__(self):
-        return shared, (Model, self.uid, (self.chars, self.weight, self.base, self.most))
+        return shared, (Model, self.uid, (self.chars, self.weight, self.base, self.known, self.most))
 
     def readings(self, token: str) -> list[str]:
         """The plain words that may stand behind a token, likeliest first; of a spaced-out run, the words found in it."""
         if " " in token:
             return self.spaced(token.replace(" ", ""))
         bare = token.strip(_EDGE)
-        if not bare or not disguised(bare):
-            out = [bare] if bare else []
+        if not bare:
+            out = []
+        elif not disguised(bare):
+            out = [bare]
+            if bare not in self.known and self.weight:
+                if _DOUBLE.search(bare):
+                    out += self.by_squeezed.get(squeezed(bare), ())
+                if len(bare) >= OUTER and self.inner and self.inner.search(bare):
+                    out += [w for reading in decode(bare, self.chars, True) for w in reading.split()]
         elif not any(map(str.isalpha, bare)):
             out = [bare]
         else:
@@ -263,9 +314,9 @@ class Model:
     def of(self, token: str) -> tuple[float, tuple[str, ...]]:
         """The weight of a token's worst reading, and the weighted stems of its readings."""
         if (got := self.cache.get(token)) is None:
-            read, weight = self.readings(token), self.weight
-            worst = max((weight.get(f, 0.0) for w in read for f in _features(w)), default=0.0)
-            got = worst, tuple({f for w in read for f in _stems(w) if f in weight})
+            read, weight, starts = self.readings(token), self.weight, self.starts
+            worst = max([weight.get(w, 0.0) for w in read], default=0.0)
+            got = worst, tuple({f for w in read if w[: STEM_LENGTHS[0]] in starts for f in _stems(w) if f in weight})
             if len(token) <= 64:  # long ones hardly recur
                 if len(self.cache) >= self.most:
                     self.cache.clear()
@@ -273,7 +324,7 @@ class Model:
         return got
 
     def score(self, text: str) -> float:
-        cache, of, worst, tokens = self.cache, self.of, self.base, raw_tokens(text)
+        cache, of, worst, tokens = self.cache, self.of, self.base, self.tokens.of(text)
         stemmed: dict[str, tuple[str, ...]] = {}
         for t in set(tokens):
             weight, stems = cache[t] if t in cache else of(t)
@@ -321,7 +372,7 @@ def families(texts: list[str]) -> list[int]:
 
 
 def _unexplained(weight: dict[str, float]) -> dict[str, float]:
-    """weight without words, beginnings and shorter stems that are weaker by over STEM_LEAD than a stem they share."""
+    """weight without words and shorter stems that are weaker by over STEM_LEAD than a stem they share."""
     stems = {f[:-1]: w for f, w in weight.items() if f[-1] == "*"}
     best = dict(stems)
     for stem, w in stems.items():
@@ -332,23 +383,74 @@ def _unexplained(weight: dict[str, float]) -> dict[str, float]:
     def rival(f: str) -> float:
         if f[-1] == "*":
             return best[f[:-1]]
-        return max((stems.get(f.split("~")[0][:n], 0.0) for n in STEM_LENGTHS), default=0.0)
+        return max((stems.get(f[:n], 0.0) for n in STEM_LENGTHS), default=0.0)
 
     return {f: w for f, w in weight.items() if w + STEM_LEAD >= rival(f)}
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """From (text, toxic).  A group of near copies counts once, by its share of toxic ones, so that copies don't make their words evidence."""
+def char_model(three: dict[str, int], short: dict[str, int]) -> CharModel:
+    """From the counts of trigrams and of short words; each word ends in one trigram."""
+    n = sum(c for g, c in three.items() if g[2] == "$")
+    return CharModel(three, frozenset(w for w, c in short.items() if c >= 2 and c * CHUNK_SHARE >= n))
+
+
+def counted(words: Counter) -> tuple[Counter, Counter]:
+    """Counts of the trigrams of plain words, and of the short ones."""
+    three, short, by_count = Counter(), Counter(), {}
+    for token, n in words.items():
+        bare = token.strip(_EDGE)
+        if bare and not disguised(bare):
+            by_count.setdefault(n, []).append(bare)
+    for n, own in by_count.items():
+        s = folded(f"^^{'$^^'.join(own)}$")
+        for (a, b, c), times in Counter(zip(s, s[1:], s[2:])).items():
+            if a != "$" and b != "$":  # those reach into the next word
+                three[a + b + c] += n * times
+        for w in own:
+            if len(w) <= CHUNK:
+                short[folded(w)] += n
+    return three, short
+
+
+def corpus_chars(docs: DataFrame, flush: int = 100_000) -> CharModel:
+    """The character model of all documents.  Tasks count words, at most about flush at a time, and give sums by trigram."""
+    import pyarrow as pa
+
+    def run(batches):
+        def rows():
+            three, short = counted(words)
+            words.clear()
+            names, sums = [*three, *(f" {w}" for w in short)], [*three.values(), *short.values()]
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sums, pa.int64())], names=["gram", "n"])
+
+        words: Counter = Counter()
+        for batch in slices(batches):
+            for text in batch.column("text"):
+                words.update((text.as_py() or "").lower().split())
+                if len(words) >= flush:
+                    yield rows()
+        if words:
+            yield rows()
+
+    found = docs.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    return char_model({r.gram: r.n for r in found if r.gram[0] != " "}, {r.gram[1:]: r.n for r in found if r.gram[0] == " "})
+
+
+def fit(rows: list[tuple[str, int]], chars: CharModel | None = None) -> Model:
+    """From (text, toxic).  A group of near copies counts once, by its share of toxic ones, so that copies don't make their words evidence.
+
+    Without a character model, that of the rows' own words."""
     rows = sorted({t: y for t, y in sorted(rows)}.items())
-    plain = Counter(b for t, _ in rows for own in set(raw_tokens(t)) if (b := own.strip(_EDGE)) and not disguised(b))
-    chars = CharModel(plain)
+    plain = Counter(b for t, _ in rows for own in set(t.lower().split()) if (b := own.strip(_EDGE)) and not disguised(b))
+    known = frozenset(w for w, n in plain.items() if n >= 3 and (len(w) >= OUTER or _DOUBLE.search(w)))
+    chars = chars or char_model(*counted(Counter(w for t, _ in rows for w in t.lower().split())))
     del plain
     base = sum(y for _, y in rows) / max(1, len(rows))
     restorer = Model(chars, {}, base)
     memo: dict[str, tuple[str, ...]] = {}
 
-    def features(text: str) -> set[str]:
-        tokens, words = raw_tokens(text), []
+    def features(text: str, among: set[str] | None = None) -> set[str]:
+        tokens, words = restorer.tokens.of(text), []
         for at, t in enumerate(tokens):
             if not disguised(t):
                 read = (t,)
@@ -357,7 +459,8 @@ def fit(rows: list[tuple[str, int]]) -> Model:
                 if len(memo) < restorer.most and len(t) <= 64:
                     memo[t] = read
             words.extend((at, t, word) for word in read)
-        return {f for w in {w for _, _, w in words} for f in _features(w)} | _recurring(words, tokens)
+        own = {w for _, _, w in words}
+        return (own if among is None else own & among) | _recurring(words, tokens, among)
 
     may = Counter(f for t, y in rows if y for f in features(t))
     candidates = {f for f, n in may.items() if n >= 5}
@@ -369,7 +472,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     for members in groups.values():
         held, toxic = Counter(), Counter()
         for i in members:
-            own = features(rows[i][0]) & candidates
+            own = features(rows[i][0], candidates)
             held.update(own)
             if rows[i][1]:
                 toxic.update(own)
@@ -377,20 +480,18 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         for f, n in toxic.items():
             toxic_count[f] += n / held[f]
     weight = {f: w for f, n in toxic_count.items() if n >= 5 and (w := _bound(n, all_count[f])) > base + 0.15}
+    weight = _unexplained(weight)
+    # Words that hold a toxic one inside, or are one with a letter doubled, need restoring however often they were seen.
+    restored = Model(chars, weight, 0.0)
+    known = frozenset(w for w in known if restored.of(w)[0] or len(restored.readings(w)) > 1)
     chars.memo.clear()
-    return Model(chars, _unexplained(weight), min(base, 0.5))
+    return Model(chars, weight, min(base, 0.5), known)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
-    """The model of at most fit_docs labelled documents, collected to the driver."""
-    chosen = (
-        labels.where("toxic is not null and doc_id is not null")
-        .select("doc_id", F.col("toxic").alias("_toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(fit_docs)
-    )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "_toxic").collect()
-    return fit([(r.text or "", int(r._toxic == 1)) for r in rows])
+def fitted(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Model:
+    """The model of a bounded sample of labelled documents, collected to the driver, and of all documents' characters."""
+    rows = sampled(docs, labels, "toxic", fit_docs, fit_chars)
+    return fit([(t, int(y == 1)) for t, y in rows], corpus_chars(docs))
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
@@ -407,7 +508,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     """docs without those scoring threshold or more; all columns stay, in place, without a shuffle."""
     import pyarrow as pa
 
-    names = docs.columns
+    at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
