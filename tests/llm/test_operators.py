@@ -114,8 +114,8 @@ def test_keep_one_equals_brute_force_in_a_template_group(spark, monkeypatch):
         copy = own[:-14] + words(14)
         texts += [" ".join(own), " ".join(copy)]
     ids = rng.permutation(len(texts)).tolist()
-    m = np.array([simhash.minima(simhash.shingle_digests(t.encode(), 5)) for t in texts])
-    alike = [(m == row).sum(axis=1) >= 103 for row in m]
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
+    alike = [np.array([5 * len(a & b) >= 4 * len(a | b) for b in sets]) for a in sets]
     least = list(ids)
     while True:
         after = [min(np.array(least)[row]) for row in alike]
