@@ -150,11 +150,12 @@ _O_C = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey
 _where("nav_reference_1", "Order", _g("And", _c(0, "Customer.c_acctbal", "Number", "LessThan", 0)), ["o_orderkey"], f"SELECT o_orderkey FROM {_O_C} WHERE c_acctbal < 0")
 _where("nav_reference_2", "Order", _g("And", _c(0, "Customer.Nation.n_nationkey", "Number", "In", 1, 3)), ["o_orderkey"], f"SELECT o_orderkey FROM {_O_C} WHERE n_nationkey IN (1, 3)")
 _where("nav_reference_3", "Order", _g("And", _c(0, "customer.nation.region.r_regionkey", "Number", "Equal", 2)), ["o_orderkey"], f"SELECT o_orderkey FROM {_O_C} WHERE r_regionkey = 2")
+_RETURNED = "l_returnflag = 'R'"
 _HAS = "EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND {})"
 _where("nav_any_1", "Order", _g("And", _c(0, "LineItems.l_quantity", "Number", "GreaterThan", 49)), ["o_orderkey"], f"SELECT o_orderkey FROM orders WHERE {_HAS.format('l_quantity > 49')}")
 _where("nav_any_2", "Customer", _g("And", _c(0, "Orders.LineItems.l_discount", "Number", "GreaterThan", "0.09")), ["c_custkey"], "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey AND l_discount > 0.09)")
 _where("nav_any_under_or", "Order", _g("Or", _c(0, "LineItems.l_quantity", "Number", "GreaterThan", 49), _BIG), ["o_orderkey"], f"SELECT o_orderkey FROM orders WHERE {_HAS.format('l_quantity > 49')} OR {_SQL_BIG}")
-_where("nav_any_two_conditions", "Order", _g("And", _c(0, "LineItems.l_quantity", "Number", "GreaterThan", 45), _c(1, "LineItems.l_returnflag", "Text", "Equal", "R")), ["o_orderkey"], f"SELECT o_orderkey FROM orders WHERE {_HAS.format('l_quantity > 45')} AND {_HAS.format(chr(108) + '_returnflag = ' + chr(39) + 'R' + chr(39))}")
+_where("nav_any_two_conditions", "Order", _g("And", _c(0, "LineItems.l_quantity", "Number", "GreaterThan", 45), _c(1, "LineItems.l_returnflag", "Text", "Equal", "R")), ["o_orderkey"], f"SELECT o_orderkey FROM orders WHERE {_HAS.format('l_quantity > 45')} AND {_HAS.format(_RETURNED)}")
 _where("nav_any_then_reference", "Order", _g("And", _c(0, "LineItems.Part.p_size", "Number", "Equal", 7)), ["o_orderkey"], "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey = o_orderkey AND p_size = 7)")
 _where("member_year", "Order", _g("And", _c(0, "o_orderdate.Year", "Number", "Equal", 1997)), ["o_orderkey"], "SELECT o_orderkey FROM orders WHERE year(o_orderdate) = 1997")
 _where("member_dayofweek", "Order", _g("And", _c(0, "o_orderdate.DayOfWeek", "Number", "Equal", 0)), ["o_orderkey"], "SELECT o_orderkey FROM orders WHERE dayofweek(o_orderdate) = 0")
@@ -325,3 +326,5 @@ _add(
     "SELECT o_orderkey FROM orders WHERE list_contains(string_split(o_orderpriority, '-'), 'LOW')",
 )
 
+
+from . import catalogue_shapes  # noqa: E402, F401  registers the rest

@@ -51,11 +51,26 @@ def check_page(page: PageBy) -> None:
         raise E.LogicError(E.INVALID_PAGE_SIZE)
 
 
+#: Rows that every task of a top-k sort may hold; the limit of row numbers in offset and limit.
+DEEP, MOST = 100_000, (1 << 31) - 1
+
+
 def paged(df: DataFrame, page: PageBy | None) -> DataFrame:
+    """A page of df's rows in their order.
+
+    After a sort, Spark takes a page by a top-k of offset + size rows in each task.  A deep page is cut from a range sort instead,
+    whose rows stream by: the filter, which every row passes, keeps the limit from merging with the sort.  A page that
+    ends past the row numbers that a limit can hold is cut there; one that begins past them is empty.
+    """
     if page is None:
         return df
     check_page(page)
-    return df.offset((page.page_number - 1) * page.page_size).limit(page.page_size)
+    skip = (page.page_number - 1) * page.page_size
+    if skip >= MOST:
+        return df.limit(0)
+    if skip + page.page_size > DEEP:
+        df = df.where(F.monotonically_increasing_id() >= 0)
+    return df.offset(skip).limit(min(page.page_size, MOST - skip))
 
 
 def sort_column(key: Column, descending: bool) -> Column:
@@ -121,9 +136,10 @@ class Query:
             raise TypeError("request is None")
         return self._on(paged(self.df, PageBy.from_json(request)))
 
-    def select(self, fields: list[str], typed: bool = True) -> DataFrame:
+    def select(self, fields: list[str], typed: bool = True, fill_defaults: bool = False) -> DataFrame:
+        """fill_defaults keeps the entity's other columns too, with their types' defaults (typed only)."""
         frame = self._frame()
-        columns = projections.project(frame, fields, typed)
+        columns = projections.project(frame, fields, typed, fill_defaults)
         return frame.df.select(*columns)
 
     def select_dynamic(self, fields: list[str]) -> DataFrame:
@@ -146,14 +162,16 @@ class Query:
             df = frame.df.orderBy(*keys) if keys else frame.df
             return paged(df, page).select(*map(quoted, frame.base))
         if not keys:
-            return self._on(paged(frame.df, page)).select(selects, typed)
+            under = Frame(self.catalog, self.entity, paged(frame.df, page), page is not None)
+            columns = projections.project(under, selects, typed)
+            return under.df.select(*columns)
         names = [f"__k{i}" for i in range(len(keys))]
         ascending = self._directions(orders, len(keys))
         plain = self._key_columns(orders)
         keyed = plain.df.select(*map(quoted, plain.base), *[c.alias(n) for c, n in zip(plain.keys, names)])
         again = [sort_column(F.col(n), d) for n, d in zip(names, ascending)]
         top = paged(keyed.orderBy(*again), page)
-        under = Frame(self.catalog, self.entity, top)
+        under = Frame(self.catalog, self.entity, top, page is not None)
         columns = projections.project(under, selects, typed)
         if under.df is top:
             return top.select(*columns)

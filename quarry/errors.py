@@ -5,6 +5,13 @@ class LogicError(Exception):
     """A request that is well-formed JSON but breaks a rule."""
 
 
+class UnknownName(LogicError, KeyError, ValueError):
+    """An entity or an enum member that doesn't exist."""
+
+    def __str__(self) -> str:
+        return self.args[0]
+
+
 #: Messages by code.
 SETS_UNIQUE_SORT = "ListOfConditionsSetsMustHasUniqueSortValue"
 CONDITIONS_UNIQUE_SORT = "AnyListOfConditionsMustHasUniqueSortValue"

@@ -21,7 +21,7 @@ _TIME = {
     "Date": (F.to_date, T.DateType()),
     "TimeOfDay": (lambda c: F.date_format(c, "HH:mm:ss"), T.StringType()),
     # 100 ns since 0001-01-01; 719162 days lie between that and 1970-01-01.
-    "Ticks": (lambda c: F.unix_micros(c.cast("timestamp")) * 10 + F.lit(719162 * 864_000_000_000), T.LongType()),
+    "Ticks": (lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c.cast("timestamp_ntz")) * 10 + F.lit(719162 * 864_000_000_000), T.LongType()),
 }
 _TEXT = {"Length": (F.length, T.IntegerType())}
 _ANY = {"Value": (lambda c: c, None), "HasValue": (lambda c: c.isNotNull(), T.BooleanType())}

@@ -8,6 +8,8 @@ from decimal import Decimal
 from enum import Enum
 from typing import Any, get_args, get_origin, get_type_hints
 
+from .errors import UnknownName
+
 
 class Named(Enum):
     @classmethod
@@ -16,11 +18,13 @@ class Named(Enum):
             return value
         members = list(cls)
         if isinstance(value, (int, Decimal)) and not isinstance(value, bool):
-            return members[int(value)]
+            if 0 <= int(value) < len(members):
+                return members[int(value)]
+            raise UnknownName(f"{value!r} is no {cls.__name__}")
         for m in members:
             if m.value.lower() == str(value).strip().lower():
                 return m
-        raise ValueError(f"{value!r} is no {cls.__name__}")
+        raise UnknownName(f"{value!r} is no {cls.__name__}")
 
 
 def _enum(name: str, values: str) -> type[Named]:

@@ -106,11 +106,46 @@ def _any_value(col: Column, steps: tuple[Step, ...], test: Test) -> Column:
     return test(col)
 
 
+def year_range(c: Condition, kind: T.DataType | None) -> Test | None:
+    """A condition on a time's year as half-open ranges of the time, which a scan can use; None if it isn't one of whole years."""
+    if c.data_type is not DataType.Number or not isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return None
+    name = c.operator.value
+    positive = name.removeprefix("Not")
+    if positive not in ("Equal", "In", "Between", "GreaterThan", "GreaterThanOrEqual", "LessThan", "LessThanOrEqual"):
+        return None
+    years = checked(c)
+    if any(y != y.to_integral_value() or not 0 < y < 9999 for y in years):
+        return None
+    start = lambda y: F.lit(f"{int(y):04d}-01-01").cast(kind)
+    inside = lambda x, a, b: (x >= start(a)) & (x < start(b + 1))
+    tests: dict[str, Test] = {
+        "Equal": lambda x: inside(x, years[0], years[0]),
+        "In": lambda x: reduce(lambda a, b: a | b, [inside(x, y, y) for y in years]),
+        "Between": lambda x: inside(x, years[0], years[1]),
+        "GreaterThan": lambda x: x >= start(years[0] + 1),
+        "GreaterThanOrEqual": lambda x: x >= start(years[0]),
+        "LessThan": lambda x: x < start(years[0]),
+        "LessThanOrEqual": lambda x: x < start(years[0] + 1),
+    }
+    test = tests[positive]
+    return lambda x: x.isNotNull() & (~test(x) if name.startswith("Not") else test(x))
+
+
 def condition(frame: Frame, c: Condition) -> Column:
     path = resolve(frame.catalog, frame.entity, c.field)
     if path.last.kind == "scalars":
         return _membership(frame, path, c)
-    return _any(frame, path.steps, leaf(c, path.type))
+    if path.last.kind == "member" and path.last.name == "Year" and (test := year_range(c, path.steps[-2].type)) is not None:
+        return _any(frame, path.steps[:-1], test)
+    test = leaf(c, path.type)
+    if c.data_type is DataType.Guid and c.operator.value in _AS_IS and path.last.canonical:
+        literals = [F.lit(v) for v in checked(c)]
+        return _any(frame, path.steps, lambda x: x.isNotNull() & _AS_IS[c.operator.value](x, literals))
+    return _any(frame, path.steps, test)
+
+
+_AS_IS = {"Equal": _TEXT["Equal"], "In": _TEXT["In"], "NotEqual": lambda c, v: c != v[0], "NotIn": lambda c, v: ~c.isin(*v)}
 
 
 def _membership(frame: Frame, path: Path, c: Condition) -> Column:

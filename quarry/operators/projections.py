@@ -81,9 +81,12 @@ class Projector:
         return F.struct(*filled)
 
     def _coll(self, frame: Frame, prefix: tuple[str, ...], step: Step, tree: Tree) -> Column:
-        sub, fk, key = frame.children(prefix, step)
+        """The collection as a list in order of the element's key; without a key, by the selected values.
+
+        A list is one value of one row, made in one task: select collections of a page."""
+        sub, fk, key = frame.own_children(prefix, step)
         parts = self.columns(sub, (), self._entity_tree(step.entity, tree))
-        ordered = [quoted(k) for k in step.entity.key] or [quoted(c) for c in sub.base]
+        ordered = [quoted(k) for k in step.entity.key] or parts
         item = F.struct(F.struct(*ordered).alias("o"), F.struct(*parts).alias("v"))
         lists = sub.df.groupBy(quoted(fk).alias("__g")).agg(F.sort_array(F.collect_list(item)).alias("__l"))
         got = frame.attach(lists.select("__g", F.col("__l").getField("v").alias("__l")), "__g", key, "__l")
@@ -117,6 +120,11 @@ def paths_of(frame: Frame, selects) -> list[Path]:
     return [resolve(frame.catalog, frame.entity, s) for s in selects]
 
 
-def project(frame: Frame, selects, typed: bool = True) -> list[Column]:
+def project(frame: Frame, selects, typed: bool = True, fill_defaults: bool = False) -> list[Column]:
     """Columns of the selected paths; joins they need are added to the frame."""
-    return Projector(typed).columns(frame, (), tree_of(paths_of(frame, selects)))
+    tree = tree_of(paths_of(frame, selects))
+    out = Projector(typed).columns(frame, (), tree)
+    if fill_defaults and typed:
+        own, rest = frame.entity, [f for f in frame.entity.df.schema if f.name not in tree]
+        out += [(F.lit(own.defaults[f.name]) if f.name in own.defaults else type_default(f.dataType)).alias(f.name) for f in rest]
+    return out

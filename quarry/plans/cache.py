@@ -74,6 +74,16 @@ def format_bytes(n: float) -> str:
     return f"{n:.2f} GB"
 
 
+def size_constants() -> dict[str, int]:
+    """Bytes that an empty object of each kind takes in this interpreter, with which :func:`string_size` and usage are counted."""
+    return {"string": sys.getsizeof(""), "tuple": sys.getsizeof(()), "dict": sys.getsizeof({}), "reference": sys.getsizeof((None,)) - sys.getsizeof(()), "entry": 32}
+
+
+def string_size(text: str | None) -> int:
+    """Bytes that a string takes; none takes none."""
+    return 0 if text is None else sys.getsizeof(text)
+
+
 class MetadataCache:
     """Three stores.  A store over its limit loses its first, least recently or least often used entries."""
 
@@ -106,8 +116,9 @@ class MetadataCache:
                 self.evict(store)
         return value
 
-    def is_full(self, store: Store) -> bool:
-        return len(self._stores[store]) > self._options.max_cache_size
+    def is_full(self, store: Store, size: int | None = None, limit: int | None = None) -> bool:
+        """Whether a store, or one of a given size, is over the limit, or over a given one."""
+        return (len(self._stores[store]) if size is None else size) > (self._options.max_cache_size if limit is None else limit)
 
     is_eviction_needed = is_full
 

@@ -23,10 +23,12 @@ def quoted(name: str) -> Column:
 
 
 class Frame:
-    """An entity's rows, with parents joined once a prefix under names like Customer.Nation.n_name."""
+    """An entity's rows, with parents joined once a prefix under names like Customer.Nation.n_name.
 
-    def __init__(self, catalog: Catalog, entity: Entity, df: DataFrame | None = None):
-        self.catalog, self.entity = catalog, entity
+    few: the rows are a page, or what belongs to one, so collections are cut to them before they are grouped."""
+
+    def __init__(self, catalog: Catalog, entity: Entity, df: DataFrame | None = None, few: bool = False):
+        self.catalog, self.entity, self.few = catalog, entity, few
         self.df = entity.df if df is None else df
         self.base = list(self.df.columns)
         self.joined: dict[tuple[str, ...], Entity] = {(): entity}
@@ -63,6 +65,15 @@ class Frame:
         coll = self.joined[prefix].colls[step.name]
         return Frame(self.catalog, step.entity), coll.fk, name_of(prefix, coll.pk)
 
+    def own_children(self, prefix: tuple[str, ...], step: Step) -> tuple[Frame, str, str]:
+        """As :meth:`children`; of few rows, their children alone: a semi-join that the planner can push below the grouping."""
+        sub, fk, key = self.children(prefix, step)
+        if self.few:
+            name = f"__k{next(_count)}"
+            keys = self.df.select(quoted(key).alias(name)).distinct()
+            sub = Frame(self.catalog, step.entity, sub.df.join(keys, quoted(fk) == F.col(name), "left_semi"), True)
+        return sub, fk, key
+
     def unique(self, name: str) -> Column:
         """A column under a name that no other frame has: inside EXISTS, a name the collection has too would mean its own."""
         alias = f"__k{next(_count)}"

@@ -24,6 +24,7 @@ class Step:
     entity: Entity | None = None
     call: Callable[[Column], Column] | None = None
     required: bool = False
+    canonical: bool = False
 
 
 def is_simple(kind: T.DataType | None) -> bool:
@@ -53,10 +54,10 @@ class Path:
         return self.last.kind in ("coll", "array", "scalars")
 
 
-def _value_step(name: str, kind: T.DataType, required: bool) -> Step:
+def _value_step(name: str, kind: T.DataType, required: bool, canonical: bool = False) -> Step:
     if isinstance(kind, T.ArrayType):
         return Step("array" if isinstance(kind.elementType, T.StructType) else "scalars", name, kind)
-    return Step("field", name, kind, required=required)
+    return Step("field", name, kind, required=required, canonical=canonical)
 
 
 def _walk(catalog: Catalog, entity: Entity, parts: list[str]) -> Path:
@@ -67,7 +68,7 @@ def _walk(catalog: Catalog, entity: Entity, parts: list[str]) -> Path:
         if isinstance(at, Entity):
             name = CACHE.get(Store.TypeProperties, at.uid, at.members).get(part.lower())
             if name in at.df.columns:
-                step = _value_step(name, at.df.schema[name].dataType, name in at.required)
+                step = _value_step(name, at.df.schema[name].dataType, name in at.required, name in at.canonical_guids)
             elif name in at.refs:
                 step = Step("ref", name, entity=catalog[at.refs[name].target])
             elif name in at.colls:
@@ -93,3 +94,51 @@ def resolve(catalog: Catalog, entity: Entity, path: str | None) -> Path:
         raise E.LogicError(E.INVALID_FIELD)
     key = (catalog.uid, entity.uid, ".".join(parts).lower())
     return CACHE.get(Store.PropertyPath, key, lambda: _walk(catalog, entity, parts))
+
+
+# Lookups over entities and types, each kept in the metadata cache.
+
+
+def type_properties(entity: Entity) -> dict[str, str]:
+    """An entity's members by their lower-case names: columns, references and collections."""
+    return dict(CACHE.get(Store.TypeProperties, entity.uid, entity.members))
+
+
+def find_property(entity: Entity, name: str) -> str | None:
+    """The member as declared, None if there is none."""
+    return type_properties(entity).get((name or "").strip().lower())
+
+
+def element_type(catalog: Catalog, entity: Entity, path: str) -> Entity | T.DataType | None:
+    """What a collection at a path holds: an entity or a type; None if the path doesn't end on a collection."""
+
+    def made():
+        last = resolve(catalog, entity, path).last
+        return last.entity if last.kind == "coll" else last.type.elementType if last.kind in ("array", "scalars") else None
+
+    return CACHE.get(Store.CollectionElementType, (catalog.uid, entity.uid, path.strip().lower()), made)
+
+
+def is_collection(catalog: Catalog, entity: Entity, path: str) -> bool:
+    return element_type(catalog, entity, path) is not None
+
+
+def validated_path(catalog: Catalog, entity: Entity, path: str) -> str:
+    """The path as declared."""
+    return resolve(catalog, entity, path).text
+
+
+def warmup(catalog: Catalog, entity: Entity | str, *paths: str) -> int:
+    """Fills the cache with an entity's members and the given paths before requests ask for them; unknown paths are passed over.
+
+    Returns how many paths were resolved."""
+    entity = catalog[entity] if isinstance(entity, str) else entity
+    type_properties(entity)
+    found = 0
+    for path in paths:
+        try:
+            element_type(catalog, entity, path)
+            found += 1
+        except E.LogicError:
+            continue
+    return found

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import UnknownName
+
 
 _uids = itertools.count()
 
@@ -43,6 +45,8 @@ class Entity:
     required: frozenset[str] = frozenset()
     #: Values of a missing parent's members where they differ from the type's default.
     defaults: dict[str, object] = field(default_factory=dict)
+    #: Text columns whose guids are all in lower-case canonical form, so that conditions compare them as they are.
+    canonical_guids: frozenset[str] = frozenset()
     #: Names this object in metadata caches.
     uid: int = field(default_factory=_uids.__next__, init=False)
 
@@ -66,6 +70,8 @@ class Catalog:
         return entity
 
     def __getitem__(self, name: str) -> Entity:
+        if name.lower() not in self._by_name:
+            raise UnknownName(f"no entity {name!r}")
         return self._by_name[name.lower()]
 
     def __iter__(self):
