@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -59,15 +60,17 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+_local = ""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see.  Only a local session without one gets a temporary folder."""
+    """The folder all executors see.  Only a session within one JVM, as in tests, gets a temporary folder if none is set."""
+    global _local
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="quarry-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
+        path = _local = _local or tempfile.mkdtemp(prefix="quarry-")
     return path.rstrip("/")
 
 

@@ -3,13 +3,13 @@
 A word that the model knows scores by its log frequency in each language; an unseen word falls back to its
 longest known character n-grams, shorter and shorter, place by place.  A text's score of a language is the sum over its words.
 
-The model is fitted on at most FIT_DOCS documents with a language (those whose id hashes least); the bound
-concerns the fit alone.  It holds words seen MIN_COUNT times there and n-grams of 1 to 4 characters, with the sampled
+The model is fitted on at most FIT_DOCS documents of at most FIT_CHARS characters with a language (those whose id hashes
+least, each id once); the bound concerns the fit alone.  It holds words seen MIN_COUNT times there and n-grams of 1 to 4 characters, with the sampled
 text as their proven bound.
 
 Defined cases: null text, or text without a letter, gives "und" with score 0; with no
 labelled document every text is "und"; repeated rows are judged each; very long texts are whole; extra columns are
-ignored; a tie goes to the language first by name.
+ignored; a tie goes to the language first by name; an empty documents table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,15 +23,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, shared
+from .common import map_texts, sampled, shared
 
-FIT_DOCS, MIN_COUNT, LONGEST = 2000, 2, 4
+FIT_DOCS, FIT_CHARS, MIN_COUNT, LONGEST = 2000, 200_000, 2, 4
 _WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters, lower-cased.  The expression also takes numbers that are no decimal digits, like a half or a Roman twelve."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 class Model:
@@ -124,12 +128,10 @@ def fit_counts(texts: list[tuple[str, str]]) -> Model:
     return Model(langs, {w: i for i, w in enumerate(known)}, {g: i + len(known) for i, g in enumerate(parts)}, scores)
 
 
-def fitted(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
-    """The model of at most fit_docs documents with text and lang, collected to the driver; ids are chosen first, so texts don't meet in a sort."""
+def fitted(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Model:
+    """The model of a bounded sample of documents with text and lang, collected to the driver."""
     able = docs.where("text is not null and lang is not null")
-    chosen = able.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs).distinct()
-    rows = able.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").select("lang", "text").collect()
-    return fit_counts(sorted((r.lang, r.text) for r in rows))
+    return fit_counts(sorted((lang, text) for text, lang in sampled(able, able, "lang", fit_docs, fit_chars)))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

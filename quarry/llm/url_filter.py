@@ -1,11 +1,12 @@
 """URL filters with a weighted vocabulary.
 
-One Aho-Corasick automaton counts strict and soft terms in host and path, at word boundaries (no letter
-or digit on either side).  One strict term rejects a URL; distinct soft terms reject it once their weights
-reach SOFT_LIMIT.  Fixed host and path rules come first.
+One Aho-Corasick automaton counts strict and soft terms in the words of host and path, at word boundaries: words are runs of 0-9,
+a-z (A-Z lower-cased) and everything outside ASCII, and all else between them counts as one hyphen.  One strict term rejects a URL;
+soft terms reject it if SOFT_LEAST distinct ones or more stand in it and their weights reach SOFT_LIMIT.  Soft terms are single words, so no
+two of them share a place.  Fixed host and path rules come first.
 
-Defined cases: a null URL or one without "://" has empty host and path, no rule, and verdict allow;
-equal terms count once; repeated rows are judged each; very long URLs are whole; extra columns are ignored; an empty
+Defined cases: a null URL or one without "://" has empty host and path, no rule, no terms and verdict allow; equal terms count
+once; a term in both lists is strict; repeated rows are judged each; very long URLs are whole; extra columns are ignored; an empty
 table gives an empty result.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, map_texts
+from .common import WORD_BYTES, lower_ascii, map_texts
 
 #: Fixed values: (verdict, host, path).
 RULES = (
@@ -24,68 +25,81 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-STRICT = (
-    "spam-farm", "cheap-pills", "casino-win", "free-bets", "adult-x", "casino", "porn", "xxx", "viagra", "cialis",
-    "escort", "escorts", "hardcore", "camgirls", "sexcam", "payday-loan", "replica-watches", "warez", "keygen", "betting-tips",
+#: Terms of adult, gambling, fraud, drug and piracy sites that hardly stand in other URLs.
+STRICT = tuple(
+    """
+    porn porno pornhub pornstar xxx xvideos xnxx xhamster redtube youporn hentai milf camgirl camgirls sexcam sexcams livesex sexchat sextube
+    adultfriendfinder escort escorts callgirl callgirls striptease nudist upskirt gangbang bukkake bdsm hardcore-sex adult-dating hookup-site
+    casino casinos sportsbook bookmaker blackjack baccarat roulette slot-machine slot-machines slotmachine betting-tips bet-online online-betting
+    poker-online online-poker free-spins viagra cialis levitra kamagra tramadol-online xanax-online buy-pills penis-enlargement male-enhancement
+    payday-loan payday-loans paydayloan cash-advance bad-credit-loan get-rich-quick work-from-home-job replica-watch replica-watches
+    fake-rolex counterfeit buy-followers buy-likes essay-writing-service buy-essay darknet darkweb-market carding cvv-shop warez keygen keygens
+    crackz nulled serialz torrentz piratebay thepiratebay putlocker free-movies-online phishing malware ransomware spamlist
+    """.split()
 )
+#: Words that speak for such sites only together, by weight.
 SOFT = {
-    "ads-track": 1.0, "ads": 0.5, "adserver": 1.0, "affiliate": 0.5, "bet": 0.5, "bets": 0.5, "bonus": 0.5, "cheap": 0.5,
-    "click": 0.5, "coupon": 0.5, "crack": 0.5, "dating": 0.5, "deal": 0.5, "download": 0.5, "free": 0.5, "jackpot": 0.5, "loan": 0.5,
-    "loans": 0.5, "lottery": 0.5, "nude": 0.5, "pills": 0.5, "poker": 0.5, "promo": 0.5, "sex": 0.5, "slots": 0.5, "spam": 0.5,
-    "torrent": 0.5, "track": 0.5, "win": 0.5, "winner": 0.5, "adult": 0.5,
+    word: weight
+    for weight, words in (
+        (3, "sex sexy nude nudes naked erotic erotica fetish swingers adult lingerie gamble gambling jackpot lottery lotto bingo poker bet bets betting wager spam scam pharmacy steroids weed cannabis crack cracked torrent torrents pirated hacked exploit"),
+        (
+            2,
+            "adserver adservers ads advert adverts popunder popup banner banners affiliate affiliates referral sponsored tracker trackers track tracking click clicks clickbait redirect slots spins bonus bonuses casinobonus odds "
+            "winner winners win prize prizes giveaway sweepstakes reward rewards free freebie freebies cheap cheapest discount discounts coupon coupons promo promos promocode deal deals clearance wholesale outlet "
+            "loan loans credit debt mortgage refinance payday cash money earn income profit profits forex crypto bitcoin invest investing trader trading pills pill drugs meds rx prescription diet slim weightloss keto detox supplement supplements "
+            "dating singles hookup hookups girls babes hot teen teens mature webcam webcams cam cams chatroom massage replica replicas fake rolex handbags serial serials patch unlocked download downloads stream streams streaming hd mp3 mp4 rip ripped subtitles "
+            "followers likes views traffic backlinks seo rank ranking botnet proxy proxies vpn cheat cheats hack hacks hacking bot bots generator",
+        ),
+        (1, "best top new now online buy order sale shop store offer offers price prices review reviews guide tips secret secrets amazing instant fast easy guaranteed legit trusted official vip club farm zone world hub 24h 247"),
+    )
+    for word in words.split()
 }
-SOFT_LIMIT = 1.0
+SOFT_LIMIT, SOFT_LEAST = 4, 2
 
 
 def automaton(strict=STRICT, soft=SOFT):
+    """Terms stand between hyphens, as the words of a URL do, so each match is at boundaries."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
+    for term in soft:
+        a.add_word(f"-{term}-", (term, False))
     for term in strict:
-        a.add_word(term, (term, True, 1.0))
-    for term, weight in soft.items():
-        if term not in strict:
-            a.add_word(term, (term, False, weight))
+        a.add_word(f"-{term}-", (term, True))
     a.make_automaton()
     return a
 
 
-def counted(url: str, a) -> tuple[int, int, float]:
-    """Distinct strict terms, distinct soft terms and the soft terms' weight, at boundaries."""
-    s = url.lower()
-    strict, soft = set(), {}
-    for end, (term, hard, weight) in a.iter(s):
-        start = end - len(term) + 1
-        if (start and s[start - 1].isalnum()) or (end + 1 < len(s) and s[end + 1].isalnum()):
-            continue
-        if hard:
-            strict.add(term)
-        else:
-            soft[term] = weight
-    return len(strict), len(soft), sum(soft.values())
+def counted(host: bytes, path: bytes, a, soft=SOFT) -> tuple[int, int, int]:
+    """Distinct strict terms, distinct soft terms and the soft terms' weight."""
+    own = b"-".join((host + b"/" + path).translate(WORD_BYTES).split()).decode()
+    hits = {hit for _, hit in a.iter(f"-{own}-")}
+    found = [term for term, hard in hits if not hard]
+    return len(hits) - len(found), len(found), sum(soft[t] for t in found)
 
 
-def judged(pages: DataFrame, strict=STRICT, soft=SOFT, limit: float = SOFT_LIMIT) -> DataFrame:
-    """page_id, url, n_strict, n_soft, soft_weight, rejected."""
+def judged(pages: DataFrame, strict=STRICT, soft=SOFT, limit: int = SOFT_LIMIT, least: int = SOFT_LEAST) -> DataFrame:
+    """page_id, host, path, n_strict, n_soft, soft_weight, rejected."""
+    host, path = split_url(F.col("url"))
 
     def make():
         a = automaton(strict, soft)
 
-        def f(ids, urls):
-            texts = [u.decode() for u in urls]
-            got = [counted(t, a) for t in texts]
+        def f(ids, hosts, own_paths):
+            got = [counted(h, p, a, soft) for h, p in zip(hosts, own_paths)]
             n_strict, n_soft, weight = ([g[i] for g in got] for i in range(3))
-            return [ids, texts, n_strict, n_soft, weight, [s > 0 or w >= limit for s, _, w in got]]
+            texts = [[x.decode() for x in part] for part in (hosts, own_paths)]
+            return [ids, *texts, n_strict, n_soft, weight, [s > 0 or n >= least and w >= limit for s, n, w in got]]
 
         return f
 
-    schema = "page_id long, url string, n_strict int, n_soft int, soft_weight double, rejected boolean"
-    return map_texts(pages, ["page_id", "url"], schema, make)
+    schema = "page_id long, host string, path string, n_strict int, n_soft int, soft_weight int, rejected boolean"
+    return map_texts(pages.select("page_id", host.alias("host"), path.alias("path")), ["page_id", "host", "path"], schema, make)
 
 
 def split_url(url):
     """(host, path) columns; both empty without "://"."""
-    after = F.when(F.coalesce(F.instr(url, "://"), F.lit(0)) > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise(F.lit(""))
+    after = F.when(F.coalesce(F.instr(url, "://"), F.lit(0)) > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise(F.lit(""))
     host = lower_ascii(F.regexp_extract(after, r"^([^/?#]*)", 1))
     path = F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1)
     return host, path
@@ -101,31 +115,34 @@ def rule_of(host, path, rules=RULES):
 
 
 def op4(pages: DataFrame) -> DataFrame:
-    host, path = split_url(F.col("url"))
-    parts = judged(pages).withColumn("host", host).withColumn("path", path)
-    ruled = parts.withColumn("r", rule_of(F.col("host"), F.col("path")))
+    ruled = judged(pages).withColumn("r", rule_of(F.col("host"), F.col("path")))
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("rejected"), "block").otherwise("allow"))
     return ruled.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"))
 
 
-def _term_sql(term: str) -> str:
-    return f"regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9]){term}($|[^a-z0-9])')"
-
-
 def _op4_sql() -> str:
-    strict = " OR ".join(map(_term_sql, STRICT))
-    soft = " + ".join(f"CASE WHEN {_term_sql(t)} THEN {w} ELSE 0 END" for t, w in SOFT.items() if t not in STRICT)
     fits = [
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN ['{h + p}', '{v}']"
         for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     ]
+    lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
-WITH a AS (
-  SELECT page_id, url, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3 :] ELSE '' END AS rest FROM pages
+WITH strict(term) AS (VALUES {', '.join(f"('{t}')" for t in STRICT)}),
+soft(term, weight) AS (VALUES {', '.join(f"('{t}', {w})" for t, w in SOFT.items() if t not in STRICT)}),
+a AS (
+  SELECT row_number() OVER () AS n, page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3 :] ELSE '' END AS rest FROM pages
 ), p AS (
-  SELECT *, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, ({strict}) OR ({soft}) >= {SOFT_LIMIT} AS rejected FROM a
-), r AS (SELECT *, CASE {' '.join(fits)} END AS r FROM p)
+  SELECT n, page_id, {lower("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a
+), w AS (
+  SELECT *, regexp_extract_all({lower("host || '/' || path")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM p
+), hard AS (
+  SELECT DISTINCT n FROM w JOIN strict ON contains('-' || array_to_string(words, '-') || '-', '-' || term || '-')
+), light AS (
+  SELECT n, count(*) AS terms, sum(weight) AS weight FROM (SELECT DISTINCT n, unnest(words) AS term FROM w) JOIN soft USING (term) GROUP BY n
+), r AS (
+  SELECT w.*, hard.n IS NOT NULL OR (coalesce(terms, 0) >= {SOFT_LEAST} AND coalesce(weight, 0) >= {SOFT_LIMIT}) AS rejected, CASE {' '.join(fits)} END AS r
+  FROM w LEFT JOIN hard ON w.n = hard.n LEFT JOIN light ON w.n = light.n
+)
 SELECT page_id, host, path, r[1] AS rule, coalesce(r[2], CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict FROM r
 """
 
