@@ -1,6 +1,8 @@
 """A corpus through toxicity, line deduplication, near-deduplication, decontamination and packing.
 
-Each stage's result is written to the shared folder and read again as the next one's documents.
+Each stage's result is written to the shared folder and read again as the next one's documents.  Stages take documents with nulls in
+any column, further columns (which they drop), repeated rows, ties and an empty table, and process whole texts; what each case
+gives is said at the stage.
 """
 
 from __future__ import annotations
@@ -16,26 +18,32 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score the threshold or more go; null and empty texts score the base rate and stay.  Repeated rows go or stay together."""
     model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs.select(*COLUMNS), model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and documents of which nothing is left; n_chars follows the text."""
+    """Repeated lines go, and documents of which nothing is left; n_chars follows the text.
+
+    Texts that were null or empty before stay, as empty ones.  Rows of one doc_id are one document; those without one come last."""
     kept = line_dedup.dedup_lines(docs.select(*COLUMNS))
     whole = kept.where((F.col("n_dropped") == 0) | (F.length(F.btrim("text")) > 0))
     return whole.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies stays: the least doc_id, one without doc_id last, one of its repeated rows; empty texts are one group."""
     return simhash.keep_one(docs.select(*COLUMNS))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go; wordless ones hold none, and an empty benchmark has none."""
     return decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing's rows, not documents: one a piece.  Empty texts have the end id alone; repeated rows are packed each."""
     return packing.pack(docs.select(*COLUMNS), tokenizer_path())
 
 
@@ -46,7 +54,7 @@ STAGES = [
     ("decontamination", decontaminated),
     ("packing", packed),
 ]
-#: A fitted toxicity model and 64-bit hashes are not SQL; tests hold run() against a brute-force version.
+#: A fitted toxicity model and 64-bit hashes are not SQL; tests hold run() over planted documents against a brute-force version.
 ORACLE_SQL = None
 
 
