@@ -77,7 +77,7 @@ apache | 0.8 | (?:licensed|released|distributed|available|published) under (?:th
 apache | 0.7 | @apache(?: software)? LIC
 agpl-3 | 1.0 | GNU@affero general public LIC(?: as published by the free software foundation)? (?:either )?VER3(?: 0)?
 agpl-3 | 1.0 | (?:www )?gnu org licenses @agpl 3 0
-agpl-3 | 0.9 | GNU@agpl ?VER3(?: 0)?
+agpl-3 | 0.9 | GNU@agpl VER3(?: 0)?
 agpl-3 | 0.9 | @agplv3
 agpl | 0.8 | GNU@affero general public LIC
 agpl | 0.7 | GNU@agpl(?: LIC)?
@@ -86,8 +86,8 @@ lgpl-2.1 | 1.0 | GNU@lesser general public LIC(?: as published by the free softw
 lgpl-2 | 1.0 | GNU@library general public LIC(?: as published by the free software foundation)? (?:either )?VER2(?: 0)?
 lgpl-3 | 1.0 | (?:www )?gnu org licenses @lgpl 3 0
 lgpl-2.1 | 1.0 | (?:www )?gnu org licenses @lgpl 2 1
-lgpl-3 | 0.9 | GNU@lgpl ?VER3(?: 0)?
-lgpl-2.1 | 0.9 | GNU@lgpl ?VER2 1
+lgpl-3 | 0.9 | GNU@lgpl VER3(?: 0)?
+lgpl-2.1 | 0.9 | GNU@lgpl VER2 1
 lgpl-3 | 0.9 | @lgplv3
 lgpl-2.1 | 0.9 | @lgplv2 1
 lgpl | 0.8 | GNU@lesser general public LIC
@@ -100,8 +100,8 @@ gpl-2 | 1.0 | GNU@general public LIC(?: as published by the free software founda
 gpl-1 | 1.0 | GNU@general public LIC(?: as published by the free software foundation)? (?:either )?VER1(?: 0)?
 gpl-3 | 1.0 | (?:www )?gnu org licenses @gpl 3 0
 gpl-2 | 1.0 | (?:www )?gnu org licenses (?:old licenses )?@gpl 2 0
-gpl-3 | 0.9 | GNU@gpl ?VER3(?: 0)?
-gpl-2 | 0.9 | GNU@gpl ?VER2(?: 0)?
+gpl-3 | 0.9 | GNU@gpl VER3(?: 0)?
+gpl-2 | 0.9 | GNU@gpl VER2(?: 0)?
 gpl-3 | 0.9 | @gplv3
 gpl-2 | 0.9 | @gplv2
 gpl | 0.9 | you should have received a copy of the GNU@general public LIC along with this program
@@ -150,8 +150,8 @@ mpl-1 | 0.9 | @mozilla public LIC VER1 0
 mpl-2 | 0.9 | @mozilla org mpl 2 0
 mpl-2 | 0.9 | @mozilla org en us mpl 2 0
 mpl | 0.8 | @mozilla public LIC
-mpl-2 | 0.8 | @mpl ?VER2(?: 0)?
-mpl-1.1 | 0.8 | @mpl ?VER1 1
+mpl-2 | 0.8 | @mpl VER2(?: 0)?
+mpl-1.1 | 0.8 | @mpl VER1 1
 mpl | 0.6 | @mpl LIC
 epl-2 | 1.0 | @eclipse public LIC VER2(?: 0)?
 epl-1 | 1.0 | @eclipse public LIC VER1(?: 0)?
@@ -159,8 +159,8 @@ epl-2 | 0.9 | (?:www )?@eclipse org legal epl 2 0
 epl-1 | 0.9 | (?:www )?@eclipse org legal epl v10
 epl | 0.8 | @eclipse public LIC
 edl-1 | 0.9 | @eclipse distribution LIC(?: VER1(?: 0)?)?
-epl-2 | 0.8 | @epl ?VER2(?: 0)?
-epl-1 | 0.8 | @epl ?VER1(?: 0)?
+epl-2 | 0.8 | @epl VER2(?: 0)?
+epl-1 | 0.8 | @epl VER1(?: 0)?
 cpl-1 | 0.9 | @common public LIC(?: VER1(?: 0)?)?
 ipl-1 | 0.9 | @ibm public LIC(?: VER1(?: 0)?)?
 cddl-1.1 | 1.0 | common development and @distribution LIC VER1 1
@@ -195,7 +195,7 @@ curl | 0.8 | @curl LIC
 wtfpl | 1.0 | do what the @fuck you want to public LIC
 wtfpl | 0.9 | @wtfpl(?: VER2(?: 0)?)?
 beerware | 0.9 | the @beerware LIC
-beerware | 0.9 | beer ?@ware LIC
+beerware | 0.9 | beer @ware LIC
 unlicense | 1.0 | this is free and @unencumbered software released into the public domain
 unlicense | 0.9 | (?:the )?@unlicense(?: org)?
 eupl-1.2 | 1.0 | european @union public LIC VER1 2
@@ -210,7 +210,7 @@ ms-pl | 0.9 | @microsoft public LIC
 ms-rl | 0.9 | @microsoft reciprocal LIC
 ms-pl | 0.7 | @ms pl
 afl-3 | 0.9 | @academic free LIC(?: VER[123](?: [01])?)?
-osl-3 | 0.9 | @osl ?VER3(?: 0)?
+osl-3 | 0.9 | @osl VER3(?: 0)?
 lppl | 0.9 | @latex project public LIC(?: VER1 [0-3][abc]?)?
 lppl | 0.8 | @lppl(?: VER1 [0-3][abc]?)?
 qpl | 0.8 | @q public LIC

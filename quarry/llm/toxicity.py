@@ -61,7 +61,7 @@ LEET = {
 _EDGE = " \t\n\x0b\x0c\r.,;:?\"'()[]{}<>|*#&%_-~`!"
 _REPEAT = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1")
-LETTER_PRICE, DROP_PRICE, MARGIN = -1.0, -0.5, 5.0
+LETTER_PRICE, DROP_PRICE, BREAK_PRICE, MARGIN = -1.0, -0.5, -2.0, 5.0
 #: A chunk has at most so many letters; a chunk is a word of its own if it is one in so many of all words.
 CHUNK, CHUNK_SHARE = 3, 100_000
 #: Words that are looked for inside others, and those others, have so many letters at least.
@@ -109,7 +109,7 @@ class CharModel:
 
 
 def lattice(token: str, ends: bool = False) -> list[list[tuple[str, float]]]:
-    """For each run of a character: what it may read, with prices; with ends, a blank after or between its letters ends a word."""
+    """For each run of a character: what it may read, with prices; a blank ends a word, at signs and, with ends, after or between letters."""
     out, i = [], 0
     while i < len(token):
         c, j = token[i], i
@@ -127,19 +127,20 @@ def lattice(token: str, ends: bool = False) -> list[list[tuple[str, float]]]:
                 options.append((letter * 2, LETTER_PRICE))
         if c not in LEET and not c.isalnum():
             options.append(("", DROP_PRICE))
-        if not options:
+        if not c.isalnum():
+            options.append((" ", BREAK_PRICE))
+        elif not options:
             options.append((c, 4 * LETTER_PRICE))
         if ends:
-            options += [(f"{x} ", p) for x, p in options if x] + [(f"{x[0]} {x[1:]}", p) for x, p in options if len(x) == 2]
+            options += [(f"{x} ", p) for x, p in options if x.strip()] + [(f"{x[0]} {x[1:]}", p) for x, p in options if len(x) == 2]
         out.append(options)
     return out
 
 
 def decode(token: str, model: CharModel, ends: bool = False) -> list[str]:
-    """Plain words of a token, likeliest first: Viterbi over the lattice, states are the last two characters.
+    """Readings of a token, words with blanks between them, likeliest first: Viterbi over the lattice, states are the last two characters.
 
-    Of each last state the best path remains; words over MARGIN less likely than the best are left out.  With ends, a reading may
-    be several words with blanks between them."""
+    Of each last state the best path remains; readings over MARGIN less likely than the best are left out."""
     states: dict[str, tuple[float, tuple]] = {"^^": (0.0, ())}
     for options in lattice(token, ends):
         after: dict[str, tuple[float, tuple]] = {}
@@ -155,7 +156,7 @@ def decode(token: str, model: CharModel, ends: bool = False) -> list[str]:
                 if at not in after or s > after[at][0]:
                     after[at] = (s, (path, letters) if letters else path)
         states = after
-    last = sorted(((s + (0.0 if ends and at == "^^" else model.log(at + "$")), at) for at, (s, _) in states.items()), reverse=True)
+    last = sorted(((s + (0.0 if at == "^^" else model.log(at + "$")), at) for at, (s, _) in states.items()), reverse=True)
     out = []
     for s, at in last:
         if s >= last[0][0] - MARGIN:
@@ -165,7 +166,7 @@ def decode(token: str, model: CharModel, ends: bool = False) -> list[str]:
                 parts.append(letters)
             if parts:
                 out.append("".join(reversed(parts)).strip())
-    return out
+    return [x for x in out if x]
 
 
 def disguised(token: str) -> bool:
@@ -274,27 +275,26 @@ class Model:
         self.by_squeezed: dict[str, list[str]] = {}
         for w in own:
             self.by_squeezed.setdefault(squeezed(w), []).append(w)
-        inner = [re.escape(w) for w in own if len(w) >= INNER]
-        self.inner = re.compile("|".join(inner)) if inner else None
+        self.inner = None
+        if inner := [w for w in own if len(w) >= INNER]:
+            import ahocorasick
+
+            self.inner = ahocorasick.Automaton()
+            for w in inner:
+                self.inner.add_word(w, w)
+            self.inner.make_automaton()
         self.uid = uuid.uuid4().hex
 
     def __reduce__(self):
         return shared, (Model, self.uid, (self.chars, self.weight, self.base, self.known, self.most))
 
-    def readings(self, token: str) -> list[str]:
-        """The plain words that may stand behind a token, likeliest first; of a spaced-out run, the words found in it."""
-        if " " in token:
-            return self.spaced(token.replace(" ", ""))
+    def phrases(self, token: str) -> list[str]:
+        """What may stand behind a token without blanks, likeliest first; words are parted by blanks."""
         bare = token.strip(_EDGE)
         if not bare:
             out = []
         elif not disguised(bare):
-            out = [bare]
-            if bare not in self.known and self.weight:
-                if _DOUBLE.search(bare):
-                    out += self.by_squeezed.get(squeezed(bare), ())
-                if len(bare) >= OUTER and self.inner and self.inner.search(bare):
-                    out += [w for reading in decode(bare, self.chars, True) for w in reading.split()]
+            out = [bare, *self.hidden(bare)]
         elif not any(map(str.isalpha, bare)):
             out = [bare]
         else:
@@ -303,18 +303,37 @@ class Model:
             out = [*out, *decode(token, self.chars)]
         return out
 
-    def spaced(self, run: str) -> list[str]:
-        """The run as one word, also without its first or last letter, which may be a word, and as the words that the lattice parts."""
+    def hidden(self, bare: str) -> list[str]:
+        """Weighted words in a plain one that is not known: with letters doubled, or run into others."""
+        out: list[str] = []
+        if bare not in self.known:
+            if _DOUBLE.search(bare):
+                out += self.by_squeezed.get(squeezed(bare), ())
+            if len(bare) >= OUTER and self.inner and next(self.inner.iter(bare), None):
+                out += decode(bare, self.chars, True)
+        return out
+
+    def readings(self, token: str) -> list[str]:
+        """The plain words that may stand behind a token; of a spaced-out run, the words found in it."""
+        if " " not in token:
+            return [w for phrase in self.phrases(token) for w in phrase.split()]
+        run = token.replace(" ", "")
+        # Also without its first or last letter, which may be a word, and as the words that the lattice parts.
         wholes = [run] if len(run) == 3 else [run, run[1:], run[:-1]]
-        out = [w for whole in wholes for w in self.readings(whole)]
+        out = [p for whole in wholes for p in self.phrases(whole)]
         if any(map(str.isalpha, run)):
-            out += [w for reading in decode(run, self.chars, True) for w in reading.split()]
-        return list(dict.fromkeys(out))
+            out += decode(run, self.chars, True)
+        return list(dict.fromkeys(w for phrase in out for w in phrase.split()))
+
+    def likeliest(self, token: str) -> list[str]:
+        """The words of the likeliest reading; of a spaced-out run, all found in it."""
+        return self.readings(token) if " " in token else [w for phrase in self.phrases(token)[:1] for w in phrase.split()]
 
     def of(self, token: str) -> tuple[float, tuple[str, ...]]:
         """The weight of a token's worst reading, and the weighted stems of its readings."""
         if (got := self.cache.get(token)) is None:
-            read, weight, starts = self.readings(token), self.weight, self.starts
+            weight, starts = self.weight, self.starts
+            read = [token] if token.isalpha() and not _DOUBLE.search(token) and len(token) < OUTER else self.readings(token)
             worst = max([weight.get(w, 0.0) for w in read], default=0.0)
             got = worst, tuple({f for w in read if w[: STEM_LENGTHS[0]] in starts for f in _stems(w) if f in weight})
             if len(token) <= 64:  # long ones hardly recur
@@ -455,7 +474,7 @@ def fit(rows: list[tuple[str, int]], chars: CharModel | None = None) -> Model:
             if not disguised(t):
                 read = (t,)
             elif (read := memo.get(t)) is None:
-                read = tuple(restorer.readings(t)[: None if " " in t else 1])
+                read = tuple(restorer.likeliest(t))
                 if len(memo) < restorer.most and len(t) <= 64:
                     memo[t] = read
             words.extend((at, t, word) for word in read)
@@ -511,8 +530,8 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(names.index("text")).to_pylist()
+        for batch in slices(batches):
+            texts = batch.column(at).to_pylist()
             keep = pa.array([model.score(t or "") < threshold for t in texts], pa.bool_())
             yield batch.filter(keep)
 

@@ -30,7 +30,7 @@ STRICT = tuple(
     """
     porn porno pornhub pornstar xxx xvideos xnxx xhamster redtube youporn hentai milf camgirl camgirls sexcam sexcams livesex sexchat sextube
     adultfriendfinder escort escorts callgirl callgirls striptease nudist upskirt gangbang bukkake bdsm hardcore-sex adult-dating hookup-site
-    casino casinos sportsbook bookmaker blackjack baccarat roulette slot-machine slot-machines slotmachine betting-tips bet-online online-betting
+    casino sportsbook bookmaker blackjack baccarat roulette slot-machine slot-machines slotmachine betting-tips bet-online online-betting
     poker-online online-poker free-spins viagra cialis levitra kamagra tramadol-online xanax-online buy-pills penis-enlargement male-enhancement
     payday-loan payday-loans paydayloan cash-advance bad-credit-loan get-rich-quick work-from-home-job replica-watch replica-watches
     fake-rolex counterfeit buy-followers buy-likes essay-writing-service buy-essay darknet darkweb-market carding cvv-shop warez keygen keygens
