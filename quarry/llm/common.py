@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -74,22 +76,58 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+class Scratch:
+    """Folders written within a :func:`scratch` block, and those among them that its result still reads."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+        self.kept: set[str] = set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A written table that outlives the block, or goes with the block around it."""
+        self.kept.add(df._written)
+        return df
+
+
+_scope: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Deletes what :func:`written` makes inside, but for tables that are kept."""
+    own, around = Scratch(), _scope.get()
+    token = _scope.set(own)
+    try:
+        yield own
+    finally:
+        _scope.reset(token)
+        for path in own.paths:
+            if path not in own.kept:
+                _delete(spark, path)
+            elif around is not None:
+                around.paths.append(path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends here, lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
+    if (scope := _scope.get()) is not None:
+        scope.paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
 
 def drop_written(df: DataFrame) -> None:
-    """Removes the files of a table made by :func:`written` that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/quarry-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Removes a table made by :func:`written` that no later step reads."""
+    _delete(df.sparkSession, df._written)
 
 
 def gapless_rank(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, fresh, release, slices, small, text_hash, written
+from .common import WORD_BYTES, fresh, release, scratch, slices, small, text_hash, written
 
 MAX_WINDOWS = 1_000_000
 BLOCK_WORDS, BLOCK_DOCS = 1 << 18, 4096
@@ -261,8 +261,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     Texts are searched under their hash, so rows of one id and different texts stay apart."""
     th, hit = fresh(docs, "_th", "_hit")
     by_hash = docs.select(text_hash(F.col("text")).alias("doc_id"), "text")
-    spotted = matches(by_hash, benchmark, width).where(F.size("spans") > 0)
-    hits = written(spotted.select(F.col("doc_id").alias(hit)).distinct(), "hits")
+    with scratch(docs.sparkSession) as made:
+        spotted = matches(by_hash, benchmark, width).where(F.size("spans") > 0)
+        hits = made.keep(written(spotted.select(F.col("doc_id").alias(hit)).distinct(), "hits"))
     full = docs.withColumn(th, text_hash(F.col("text")))
     kept = full.join(small(hits, hits.count()), F.col(th) == F.col(hit), "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

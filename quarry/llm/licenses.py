@@ -29,7 +29,7 @@ _SPAN = "struct<prio:int,shorter:int,start:int,stop:int,label:string,confidence:
 
 def words_of(text: Column) -> Column:
     """Lower-cased words.  ``lower`` makes an ASCII letter of the Kelvin sign alone, which is put aside."""
-    plain = F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("·"))
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u00b7"))
     return F.array_remove(F.split(F.lower(plain), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 

@@ -26,13 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, fresh, map_texts, small, text_hash, written
+from .common import drop_written, fresh, map_texts, scratch, small, text_hash, written
 
 SEED = 42
 #: Points of a shard and of the sample per shard.  One shard of this size takes about 100 MB and seconds.
 POINTS_A_SHARD, SAMPLE_A_SHARD, LEAST_SHARDS = 1_000_000, 128, 32
-#: A split that leaves more than this share on one side is none.
-WORST_SPLIT = 0.9
+#: Splits that leave more than this share on one side, among shards and within one, are none: their copies outgrow what they part.
+#: Random points lie 32 +- 4 bits apart, and the better side of a split with 2 bits of overlap holds 0.6 of them.
+WORST_DEAL, WORST_SPLIT = 0.75, 0.65
 #: Points that are compared all with all, and points that a breadth-first search takes.
 ALL_PAIRS, SEARCHED = 192, 2048
 
@@ -112,7 +113,7 @@ def build_tree(sample: np.ndarray, shards: int, k: int) -> list | int | Dense:
             tries = rng.choice(points, size=min(8, len(points)), replace=False)
             best = min(((*_radius(_distance(points, p), k)[::-1], p) for p in tries), key=lambda x: x[:2])
             worst, r, p = best
-            if worst <= WORST_SPLIT * len(points):
+            if worst <= WORST_DEAL * len(points):
                 d = _distance(points, p)
                 return [int(p), r, grow(points[d <= r + k], want // 2), grow(points[d > r], want - want // 2)]
         count[0] += 1
@@ -290,8 +291,9 @@ def classes(fps: DataFrame, k: int = 2) -> DataFrame:
 
 def components(docs: DataFrame, width: int = 3, k: int = 2) -> DataFrame:
     """doc_id, fp (signed), component_id, for every row."""
-    fps = written(fingerprints(docs, width), "fingerprints")
-    of = written(classes(fps, k), "classes")
+    with scratch(docs.sparkSession) as made:
+        fps = made.keep(written(fingerprints(docs, width), "fingerprints"))
+        of = made.keep(written(classes(fps, k), "classes"))
     return fps.join(of, "fp", "left").select("doc_id", "fp", "component_id")
 
 
@@ -546,19 +548,18 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, k: int =
     """
     last = F.lit((1 << 63) - 1)
     keyed = docs.select(F.coalesce("doc_id", last).alias("doc_id"), "text", text_hash(F.col("text")).alias("th"))
-    sketched = written(sketches(keyed, width, similarity), "sketches")
-    keys, buckets = _buckets(sketched)
-    edges = written(similar_pairs(sketched, _candidates(sketched, keys, buckets, k), similarity), "edges")
-    first = propagate(edges)
-    further = propagate(written(crossing(sketched, keys, buckets, first, similarity), "edges"))
-    rows = sketched.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
-    named = rows.join(first, rows.th == first.node, "left").select("doc_id", "th", "n", F.coalesce("label", "th").alias("part"))
-    named = named.join(further, named.part == further.node, "left").select("doc_id", "th", "n", F.coalesce("label", "part").alias("label"))
-    named = written(named, "classes")
-    best = named.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("best"))
-    judged = written(named.join(best, "label").select("doc_id", "th", "n", (F.struct("doc_id", "th") == F.col("best")).alias("stays")), "judged")
-    for table in (sketched, keys, buckets, edges, named):
-        drop_written(table)
+    with scratch(docs.sparkSession) as made:
+        sketched = written(sketches(keyed, width, similarity), "sketches")
+        keys, buckets = _buckets(sketched)
+        edges = written(similar_pairs(sketched, _candidates(sketched, keys, buckets, k), similarity), "edges")
+        first = propagate(edges)
+        further = propagate(written(crossing(sketched, keys, buckets, first, similarity), "edges"))
+        rows = sketched.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+        named = rows.join(first, rows.th == first.node, "left").select("doc_id", "th", "n", F.coalesce("label", "th").alias("part"))
+        named = named.join(further, named.part == further.node, "left").select("doc_id", "th", "n", F.coalesce("label", "part").alias("label"))
+        named = written(named, "classes")
+        best = named.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("best"))
+        judged = made.keep(written(named.join(best, "label").select("doc_id", "th", "n", (F.struct("doc_id", "th") == F.col("best")).alias("stays")), "judged"))
     id_, th, jid, jth = fresh(docs, "_id", "_th", "_jid", "_jth")
 
     def those(df: DataFrame, found: DataFrame, rows: int, how: str) -> DataFrame:

@@ -225,7 +225,8 @@ def test_dense_balls_are_cut_by_blocks(monkeypatch):
         ball = np.unique(np.uint64(77777) ^ (rng.integers(0, 1 << 63, size=3000, dtype=np.uint64) & spread))
         monkeypatch.setattr(simhash, "SEARCHED", 64)
         monkeypatch.setattr(simhash, "ALL_PAIRS", 16)
-        monkeypatch.setattr(simhash, "WORST_SPLIT", 0.0)  # nothing counts as a split
+        for name in ("WORST_DEAL", "WORST_SPLIT"):
+            monkeypatch.setattr(simhash, name, 0.0)  # nothing counts as a split
         tree = simhash.build_tree(ball[::5], 8, 2)
         assert isinstance(tree, simhash.Dense) and (np.bitwise_or.reduce(np.array(tree.masks, np.uint64)) == np.uint64(2**64 - 1))
         parent = {int(p): int(p) for p in ball}
