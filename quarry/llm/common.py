@@ -197,6 +197,22 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
+#: Spark's defaults for Arrow batches, and what takes their place: whole texts and index blocks are large rows.
+_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", str(SLICE)),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m"),
+}
+
+
+def light_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to SLICE rows and 8 MB where they are at their defaults.
+
+    The executor and its Python worker hold batches besides all else; of rows of megabytes, 64 MB a batch is too much for both."""
+    for key, (default, value) in _BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, value)
+
+
 def map_texts(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable]) -> DataFrame:
     """Runs make() once a task; the function it returns takes the columns' lists of a batch and returns rows' lists.
 
@@ -205,6 +221,7 @@ def map_texts(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    light_batches(df.sparkSession)
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, fresh, release, scratch, slices, small, text_hash, written
+from .common import WORD_BYTES, fresh, light_batches, release, scratch, slices, small, text_hash, written
 
 MAX_WINDOWS = 1_000_000
 BLOCK_WORDS, BLOCK_DOCS = 1 << 18, 4096
@@ -120,6 +120,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         if ids:
             yield row()
 
+    light_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, INDEX)
 
 

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, sampled, shared, slices
+from .common import light_batches, map_texts, release, sampled, shared, slices
 from .language_id import held_out
 
 FIT_DOCS, FIT_CHARS, THRESHOLD = 6000, 200_000, 0.7
@@ -102,7 +102,7 @@ class CharModel:
             p1 = (self.one.get(gram[2], 0) + 0.01) / self.all
             p2 = (self.two.get(gram[1:], 0) + 8 * p1) / (self.left.get(gram[1], 0) + 8)
             p3 = (self.three.get(gram, 0) + 4 * p2) / (self.left2.get(gram[:2], 0) + 4)
-            if len(self.memo) > 100_000:
+            if len(self.memo) > 30_000:
                 self.memo.clear()
             got = self.memo[asked] = math.log(p3)
         return got
@@ -431,10 +431,12 @@ def counted(words: Counter) -> tuple[Counter, Counter]:
     return three, short
 
 
-def corpus_chars(docs: DataFrame, flush: int = 100_000) -> CharModel:
+def corpus_chars(docs: DataFrame, flush: int = 50_000) -> CharModel:
     """The character model of all documents.  Tasks count words, at most about flush at a time, and give sums by trigram."""
     import pyarrow as pa
 
+    light_batches(docs.sparkSession)
+
     def run(batches):
         def rows():
             three, short = counted(words)
@@ -442,6 +444,7 @@ def corpus_chars(docs: DataFrame, flush: int = 100_000) -> CharModel:
             names, sums = [*three, *(f" {w}" for w in short)], [*three.values(), *short.values()]
             return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sums, pa.int64())], names=["gram", "n"])
 
+        release()
         words: Counter = Counter()
         for batch in slices(batches):
             for text in batch.column("text"):
@@ -527,6 +530,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     """docs without those scoring threshold or more; all columns stay, in place, without a shuffle."""
     import pyarrow as pa
 
+    light_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):
