@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -165,14 +167,19 @@ _held: dict[str, object] = {}
 def held(key: str, make: Callable[[], object]):
     """make()'s result as a Python worker keeps it: tasks that one worker runs share it and its caches.  Only the last one asked for is held."""
     if key not in _held:
-        _held.clear()
+        release()
         _held[key] = make()
     return _held[key]
 
 
 def release() -> None:
-    """Lets go what an earlier stage's tasks left in this worker."""
-    _held.clear()
+    """Lets go what an earlier stage's tasks left in this worker, and gives the memory back to the system where that can be asked for."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
 
 
 def shared(kind: type, uid: str, state: tuple):
@@ -213,10 +220,10 @@ def light_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def map_texts(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable]) -> DataFrame:
+def map_texts(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable], alone: bool = False) -> DataFrame:
     """Runs make() once a task; the function it returns takes the columns' lists of a batch and returns rows' lists.
 
-    Text columns come as bytes, null as b"".  Output columns follow schema's order.
+    alone: it uses nothing that workers hold.  Text columns come as bytes, null as b"".  Output columns follow schema's order.
     """
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -225,6 +232,8 @@ def map_texts(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if alone:
+            release()
         f = make()
         for batch in slices(batches):
             lists = []

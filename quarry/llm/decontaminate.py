@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import WORD_BYTES, fresh, light_batches, release, scratch, slices, small, text_hash, written
 
 MAX_WINDOWS = 1_000_000
-BLOCK_WORDS, BLOCK_DOCS = 1 << 18, 4096
+#: A block's arrays stay below half a megabyte, unless one document is longer: larger objects fragment an executor's heap.
+BLOCK_WORDS, BLOCK_DOCS = 1 << 16, 4096
 #: Places that are followed at a time while lists are intersected; one window's own list may be longer.
 PLACES = 1 << 19
 INDEX = "block long, doc_ids array<long>, n_words array<int>, terms binary, bounds binary, positions binary"

@@ -51,7 +51,7 @@ class Encoder:
     so do whole texts that may hold the name of a special token, in which case matters.
     """
 
-    def __init__(self, tokenizer_path: str, cache_chunks: int = 200_000):
+    def __init__(self, tokenizer_path: str, cache_chunks: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)

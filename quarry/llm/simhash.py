@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, width: int = 3, keep: tuple[str, ...] = ("doc_
 
         return f
 
-    return map_texts(docs, [*keep, "text"], ", ".join(f"{c} long" for c in (*keep, "fp")), make)
+    return map_texts(docs, [*keep, "text"], ", ".join(f"{c} long" for c in (*keep, "fp")), make, True)
 
 
 def _distance(points: np.ndarray, point: np.uint64) -> np.ndarray:
@@ -362,7 +362,7 @@ def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
         return f
 
     schema = "doc_id long, th long, fp long, minima binary, shingles binary, bands array<long>"
-    return map_texts(docs, ["doc_id", "th", "text"], schema, make)
+    return map_texts(docs, ["doc_id", "th", "text"], schema, make, True)
 
 
 def _buckets(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
