@@ -60,7 +60,7 @@ x11 | 0.9 | shall not be used in advertising or otherwise to promote the sale us
 bsd | 1.0 | @redistribution and use in source and binary forms with or without modification(?: are permitted)?
 bsd | 0.9 | @redistributions of source code must retain the above copyright notice
 bsd | 0.9 | @redistributions in binary form must reproduce the above copyright notice
-bsd-3-clause | 1.0 | neither the name of .{1,80}? nor the names of its @contributors may be used to endorse or promote
+bsd-3-clause | 1.0 | (?:neither the name of (?:the )?(?:copyright holder|university|organization|company|author|project) nor )?the names of its @contributors may be used to endorse or promote
 bsd-4-clause | 1.0 | all @advertising materials mentioning features or use of this software must display
 apache-2 | 1.0 | licensed under the @apache LIC VER2(?: 0)?
 apache-2 | 1.0 | (?:released|distributed|available|published|provided|offered) under the (?:terms of the )?@apache(?: software)? LIC VER2(?: 0)?
@@ -122,6 +122,7 @@ mit | 0.9 | (?:use|used|covered|governed|permitted) (?:it )?(?:under|by) (?:the
 mit | 0.8 | LIC (?:is |type |name |the )?@mit
 mit | 0.8 | @mit(?: x11| expat| style)? LIC
 mit | 0.8 | @expat LIC
+x11 | 1.0 | (?:licensed|released|distributed|available) under the x @consortium LIC
 x11 | 0.9 | @x11 LIC
 x11 | 0.9 | x @consortium LIC
 bsd-4-clause | 0.9 | (?:the )?(?:4 clause|four clause|original|old) @bsd(?: LIC)?
@@ -252,6 +253,7 @@ public-domain | 0.8 | (?:in|into|to) the public @domain
 public-domain | 0.8 | public @domain dedication
 proprietary | 0.8 | @proprietary and confidential
 proprietary | 0.8 | confidential and @proprietary
+proprietary | 0.6 | @confidential and confidential
 proprietary | 0.7 | @unauthorized (?:copying|use|reproduction|distribution)(?: and distribution)? of this (?:file|software|document|work) (?:via any medium )?is (?:strictly )?prohibited
 proprietary | 0.7 | end user LIC @agreement
 proprietary | 0.6 | for @internal use only

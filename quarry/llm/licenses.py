@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_rules import Rule, rules
+from . import license_rules
+from .license_rules import BASE, Rule  # noqa: F401  BASE belongs to this module's interface
 
 #: Words of a window on either side of the keyword; no signature reaches as far.
 REACH = 32
@@ -27,6 +28,17 @@ _MARK = "\x01"
 _SPAN = "struct<prio:int,shorter:int,start:int,stop:int,label:string,confidence:double>"
 
 
+def rules() -> list[dict]:
+    """All rules as plain values, best priority first: base phrases, then the signatures.
+
+    regex is over words between single blanks; cue and kw are the gate, the keyword between blanks."""
+    out = []
+    for r in license_rules.rules():
+        gate, regex = f" {r.keyword} ", f"(?<![^ ])(?:{r.regex.replace('@', '')})(?![^ ])"
+        out.append(r._asdict() | {"cue": gate, "kw": gate, "regex": regex})
+    return out
+
+
 def words_of(text: Column) -> Column:
     """Lower-cased words.  ``lower`` makes an ASCII letter of the Kelvin sign alone, which is put aside."""
     plain = F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u00b7"))
@@ -107,7 +119,7 @@ def _once(df: DataFrame, name: str, made: Column) -> DataFrame:
 
 def scanned(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_words, base places and labels, labels, score, and the base and remaining detections."""
-    every = rules()
+    every = license_rules.rules()
     df = _once(docs.select("doc_id", "text"), "w", words_of(F.col("text"))).drop("text")
     df = _once(df, "found", detections(F.col("w"), every))
     df = df.select("doc_id", F.size("w").cast("long").alias("n_words"), "found")
