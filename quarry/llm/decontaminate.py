@@ -32,7 +32,7 @@ MAX_WINDOWS = 1_000_000
 BLOCK_WORDS, BLOCK_DOCS = 1 << 16, 4096
 #: Places that are followed at a time while lists are intersected; one window's own list may be longer.
 PLACES = 1 << 19
-INDEX = "block long, doc_ids array<long>, n_words array<int>, terms binary, bounds binary, positions binary"
+INDEX = "block long, doc_ids array<long>, n_words array<int>, terms binary, sizes binary, positions binary"
 HITS = "block long, ordinal int, doc_id long, n_words long, spans array<struct<start:long,stop:long>>, items array<long>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
@@ -81,6 +81,11 @@ def chunks_of(benchmark: DataFrame, width: int, most: int) -> Iterator[Windows]:
         yield chunk
 
 
+def whole(length: int) -> type:
+    """The type of the positions and list sizes of a block of so many words and gaps; a gap at least is no word."""
+    return np.uint16 if length <= 1 << 16 else np.int32 if length < 1 << 31 else np.int64
+
+
 def build_index(docs: DataFrame) -> DataFrame:
     """Blocks of documents with the postings of all their terms; terms are parted by blanks, which no word holds."""
 
@@ -97,18 +102,19 @@ def build_index(docs: DataFrame) -> DataFrame:
             place = np.flatnonzero(term >= 0)
             term = term[place]
             order = np.argsort(term, kind="stable")
-            bounds = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(numbers))))).astype(np.int64)
-            wide = np.int64 if at >= 1 << 31 else np.int32
-            data = [[block], [ids], [counts], [b" ".join(numbers)], [bounds.tobytes()], [place[order].astype(wide).tobytes()]]
+            lists = [x.astype(whole(at)).tobytes() for x in (np.bincount(term, minlength=len(numbers)), place[order])]
+            data = [[block], [ids], [counts], [b" ".join(numbers)], *([x] for x in lists)]
             ids, counts, found, at, numbers, block = [], [], [], 0, Numbers(), block + 1
             types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
-            names = ["block", "doc_ids", "n_words", "terms", "bounds", "positions"]
+            names = ["block", "doc_ids", "n_words", "terms", "sizes", "positions"]
             return pa.RecordBatch.from_arrays([pa.array(d, type=t) for d, t in zip(data, types)], names=names)
 
         for batch in slices(batches):
             texts = batch.column("text").cast(pa.large_binary())
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts):
                 own = words(text.as_py() or b"")
+                if ids and (at + len(own) >= BLOCK_WORDS or len(ids) >= BLOCK_DOCS):
+                    yield row()
                 terms = np.empty(len(own) + 1, dtype=np.int32)
                 terms[:-1] = np.fromiter(map(numbers.__getitem__, own), dtype=np.int32, count=len(own))
                 terms[-1] = -1  # the gap
@@ -116,8 +122,6 @@ def build_index(docs: DataFrame) -> DataFrame:
                 counts.append(len(own))
                 found.append(terms)
                 at += len(terms)
-                if at >= BLOCK_WORDS or len(ids) >= BLOCK_DOCS:
-                    yield row()
         if ids:
             yield row()
 
@@ -182,8 +186,8 @@ def search(index: DataFrame, chunk: Windows, slop: int = 0) -> DataFrame:
     def found(r: dict) -> tuple[np.ndarray, list, list]:
         counts = np.array(r["n_words"], dtype=np.int64)
         base = np.concatenate(([0], np.cumsum(counts + 1)))
-        wide = np.int64 if base[-1] >= 1 << 31 else np.int32
-        bounds, positions = np.frombuffer(r["bounds"], dtype=np.int64), np.frombuffer(r["positions"], dtype=wide)
+        sizes, positions = (np.frombuffer(r[c], dtype=whole(int(base[-1]))) for c in ("sizes", "positions"))
+        bounds = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
         block = Block(r["terms"], bounds, positions, int(base[-1]), vocabulary)
         step = np.zeros(base[-1] + 1, dtype=np.int32)
         items: dict[int, set[int]] = {}

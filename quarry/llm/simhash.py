@@ -336,60 +336,87 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, th (text hash), fp, minima (binary), shingles (sorted distinct 32-bit hashes, binary) and bands of every row.
+def halves(digests: list[bytes]) -> bytes:
+    """The sorted distinct upper halves of a text's shingle hashes."""
+    return np.unique((distinct(digests) >> np.uint64(32)).astype(np.uint32)).tobytes()
 
-    The minima are cut into one band more than minima may differ at the similarity.  A pair of 0.8 or more that has no whole band in
-    common is one in 30,000 at 0.8 and far rarer above."""
-    cuts = [len(part) for part in np.array_split(np.arange(MINIMA), MINIMA - least_equal(similarity) + 1)]
-    ends = 4 * np.cumsum(cuts)
-    places = list(zip((ends - 4 * np.array(cuts)).tolist(), ends.tolist()))
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id and th (text hash) of every row; fp and minima (binary) where a task meets a text first, null at its further rows."""
 
     def make():
+        seen = set()
+
         def f(ids, hashes, texts):
-            fps, all_minima, shingles, bands = [], [], [], []
-            for t in texts:
-                digests = shingle_digests(t, width)
-                hashed = distinct(digests)
-                own = minima(hashed).tobytes()
-                fps.append(majority(digests))
-                all_minima.append(own)
-                shingles.append(np.unique((hashed >> np.uint64(32)).astype(np.uint32)).tobytes())
-                keys = [xxhash.xxh64_intdigest(own[a:b], i) for i, (a, b) in enumerate(places)]
-                bands.append(np.array(keys, dtype=np.uint64).view(np.int64).tolist())
-            return [ids, hashes, fps, all_minima, shingles, bands]
+            fps, all_minima = [], []
+            for th, t in zip(hashes, texts):
+                new = th not in seen
+                seen.add(th)
+                digests = shingle_digests(t, width) if new else []
+                fps.append(majority(digests) if new else None)
+                all_minima.append(minima(distinct(digests)).tobytes() if new else None)
+            return [ids, hashes, fps, all_minima]
+
+        return f
+
+    return map_texts(docs, ["doc_id", "th", "text"], "doc_id long, th long, fp long, minima binary", make, True)
+
+
+def _shingled(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(th, shingles: sorted distinct 32-bit hashes, binary), a row a text, of the given texts; written.
+
+    Few texts need them, so they are made from docs when they do: those of all texts would be as large as the texts."""
+
+    def make():
+        seen = set()
+
+        def f(hashes, texts):
+            new = [i for i, th in enumerate(hashes) if not (th in seen or seen.add(th))]
+            return [[hashes[i] for i in new], [halves(shingle_digests(texts[i], width)) for i in new]]
 
         return f
 
-    schema = "doc_id long, th long, fp long, minima binary, shingles binary, bands array<long>"
-    return map_texts(docs, ["doc_id", "th", "text"], schema, make, True)
+    own = docs.select("th", "text").join(texts, "th", "left_semi")
+    return written(map_texts(own, ["th", "text"], "th long, shingles binary", make, True).dropDuplicates(["th"]), "shingles")
 
 
-def _buckets(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Written tables (th, key) of the bands' keys, and (key, lo, hi) of those with two texts or more."""
-    keyed = written(sketched.select("th", F.explode("bands").alias("key")).distinct(), "bands")
-    shared = keyed.groupBy("key").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo < hi")
-    return keyed, written(shared, "buckets")
+def _buckets(one: DataFrame, similarity: float) -> DataFrame:
+    """Written (key, th, lo, hi): the texts of each band's key that two texts or more have, and the least and greatest of them.
+
+    The minima are cut into one band more than minima may differ at the similarity.  A pair of 0.8 or more that has no whole band in
+    common is one in 30,000 at 0.8 and far rarer above.  Keys move once, and only those that texts share are kept."""
+    cuts = [len(part) for part in np.array_split(np.arange(MINIMA), MINIMA - least_equal(similarity) + 1)]
+    starts = (4 * (np.cumsum(cuts) - cuts) + 1).tolist()
+    bands = F.array(*[F.xxhash64(F.substring("minima", a, 4 * n), F.lit(i)) for i, (a, n) in enumerate(zip(starts, cuts))])
+    own = Window.partitionBy("key")
+    keyed = one.select("th", F.explode(bands).alias("key"))
+    met = keyed.select("key", "th", F.min("th").over(own).alias("lo"), F.max("th").over(own).alias("hi"))
+    return written(met.where("lo < hi").distinct(), "buckets")
 
 
-def _candidates(sketched: DataFrame, keyed: DataFrame, shared: DataFrame, k: int) -> DataFrame:
+def _candidates(one: DataFrame, met: DataFrame, k: int) -> DataFrame:
     """Distinct pairs (a, b) of text hashes, a < b: fingerprints linked by the trees, and least and greatest of a band's key.
 
     They join most near copies cheaply; what they leave apart, :func:`crossing` compares."""
-    by_fp = sketched.groupBy("fp").agg(F.min("th").alias("lo"), F.max("th").alias("hi"))
+    by_fp = one.groupBy("fp").agg(F.min("th").alias("lo"), F.max("th").alias("hi"))
     points = written(by_fp, "points")
     tree = written(linked_points(points.select("fp"), k), "edges")
     root = points.select(F.col("fp").alias("root"), F.col("lo").alias("root_lo"))
     linked = tree.join(points, "fp").join(root, "root").select(F.col("lo").alias("a"), F.col("root_lo").alias("b"))
-    same = sketched.select("fp", "th").distinct().join(points.where("lo < hi"), "fp").select(F.col("th").alias("a"), F.col("lo").alias("b"))
-    met = keyed.join(shared, "key")
+    same = one.select("fp", "th").distinct().join(points.where("lo < hi"), "fp").select(F.col("th").alias("a"), F.col("lo").alias("b"))
     pairs = linked.union(same).union(met.select("th", "lo")).union(met.select("th", "hi")).where("a != b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _of_texts(sketched: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
-    """th and columns, a row a text, of the given texts (th)."""
-    return sketched.select("th", *columns).join(texts.distinct(), "th", "left_semi").dropDuplicates(["th"])
+def _minima(one: DataFrame, texts: DataFrame) -> DataFrame:
+    """(th, minima), a row a text, of the given texts; written."""
+    return written(one.select("th", "minima").join(texts, "th", "left_semi").dropDuplicates(["th"]), "minima")
+
+
+def _distinct(texts: DataFrame) -> DataFrame:
+    """Distinct th, written, with a broadcast hint up to a bound: what joins them need not move then."""
+    texts = written(texts.distinct(), "texts")
+    return small(texts, texts.count())
 
 
 def _sides(pairs: DataFrame, one: DataFrame, column: str) -> DataFrame:
@@ -400,14 +427,14 @@ def _sides(pairs: DataFrame, one: DataFrame, column: str) -> DataFrame:
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("th")).union(pairs.select("b"))
+    return _distinct(pairs.select(F.col("a").alias("th")).union(pairs.select("b")))
 
 
-def similar_pairs(sketched: DataFrame, candidates: DataFrame, similarity: float) -> DataFrame:
+def similar_pairs(docs: DataFrame, one: DataFrame, candidates: DataFrame, width: int, similarity: float) -> DataFrame:
     """(fp, root): candidates of the similarity or more; the names are those of edges.  Unsure ones are decided by their shingles."""
     low, high = map(least_equal, UNSURE)
     pairs = written(candidates, "pairs")
-    one = written(_of_texts(sketched, _ends(pairs), "minima"), "minima")
+    least = _minima(one, _ends(pairs))
 
     def alike(batches):
         for batch in batches:
@@ -417,10 +444,10 @@ def similar_pairs(sketched: DataFrame, candidates: DataFrame, similarity: float)
             columns = [batch.column(c).filter(keep) for c in "ab"] + [pa.array(equal).filter(keep)]
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "equal"])
 
-    met = _sides(pairs, one, "minima").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long, equal int")
+    met = _sides(pairs, least, "minima").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long, equal int")
     met = written(met, "met")
     unsure = met.where(F.col("equal") < high).select("a", "b")
-    two = written(_of_texts(sketched, _ends(unsure), "shingles"), "shingles")
+    sets = _shingled(docs, _ends(unsure), width)
 
     def exact(batches):
         for batch in batches:
@@ -428,7 +455,7 @@ def similar_pairs(sketched: DataFrame, candidates: DataFrame, similarity: float)
             keep = pa.array([jaccard(*(np.frombuffer(s.as_py(), dtype=np.uint32) for s in xy)) >= similarity for xy in both], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "ab"], names=["a", "b"])
 
-    decided = _sides(unsure, two, "shingles").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
+    decided = _sides(unsure, sets, "shingles").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
     return met.where(F.col("equal") >= high).select("a", "b").unionAll(decided).toDF("fp", "root")
 
 
@@ -474,14 +501,14 @@ def joins(x: Side, y: Side, similarity: float) -> list[tuple[int, int]]:
     return out
 
 
-def crossing(sketched: DataFrame, keyed: DataFrame, shared: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+def crossing(docs: DataFrame, one: DataFrame, met: DataFrame, labels: DataFrame, width: int, similarity: float) -> DataFrame:
     """(fp, root): labels of parts that texts of one key connect, by all pairs of texts of a key that are in different parts.
 
     Least and greatest of a key have met all its texts, and a key within one part needs nothing more.  A large key is cut into
     blocks, a large part of it into its own ones, and tasks get two blocks each; blocks of the same large part are not compared.
     """
     part = F.coalesce("label", "th").alias("part")
-    members = keyed.join(shared, "key").where("th != lo and th != hi").select("key", "th")
+    members = met.where("th != lo and th != hi").select("key", "th")
     members = written(members.join(labels, members.th == labels.node, "left").select("key", "th", part), "members")
     several = members.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
     sized = written(members.join(several, "key", "left_semi").groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")), "sizes")
@@ -502,8 +529,9 @@ def crossing(sketched: DataFrame, keyed: DataFrame, shared: DataFrame, labels: D
     rows = rows.select("*", other).where(~inside)
     rows = rows.select("th", "part", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
     rows = written(rows, "blocks")
-    one = written(_of_texts(sketched, rows.select("th"), "minima", "shingles"), "minima")
-    dealt = rows.join(one, "th").drop("th").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    texts = _distinct(rows.select("th"))
+    sides = _minima(one, texts).join(_shingled(docs, texts, width), "th")
+    dealt = rows.join(sides, "th").drop("th").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def pairs(held: pa.Table, ends: list[int]) -> pa.RecordBatch:
         m = np.frombuffer(b"".join(held.column("minima").to_pylist()), dtype=np.uint32).reshape(-1, MINIMA)
@@ -549,11 +577,12 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, k: int =
     last = F.lit((1 << 63) - 1)
     keyed = docs.select(F.coalesce("doc_id", last).alias("doc_id"), "text", text_hash(F.col("text")).alias("th"))
     with scratch(docs.sparkSession) as made:
-        sketched = written(sketches(keyed, width, similarity), "sketches")
-        keys, buckets = _buckets(sketched)
-        edges = written(similar_pairs(sketched, _candidates(sketched, keys, buckets, k), similarity), "edges")
+        sketched = written(sketches(keyed, width), "sketches")
+        one = sketched.where("minima is not null").select("th", "fp", "minima")
+        met = _buckets(one, similarity)
+        edges = written(similar_pairs(keyed, one, _candidates(one, met, k), width, similarity), "edges")
         first = propagate(edges)
-        further = propagate(written(crossing(sketched, keys, buckets, first, similarity), "edges"))
+        further = propagate(written(crossing(keyed, one, met, first, width, similarity), "edges"))
         rows = sketched.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
         named = rows.join(first, rows.th == first.node, "left").select("doc_id", "th", "n", F.coalesce("label", "th").alias("part"))
         named = named.join(further, named.part == further.node, "left").select("doc_id", "th", "n", F.coalesce("label", "part").alias("label"))

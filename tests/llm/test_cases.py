@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -288,6 +289,33 @@ def test_near_copies_down_to_the_threshold(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(table).collect()) == brute_near(rows)
 
 
+def test_near_copies_among_repeats_in_several_tasks(spark):
+    rng = np.random.default_rng(15)
+    rows = []
+    for i in range(40):
+        own = words(rng, 100).split()
+        n = int(rng.integers(4, 12))  # similarities from 0.93 to 0.78
+        texts = [" ".join(own), " ".join(own[:-n] + words(rng, n).split())]
+        rows += [(10 * i + j, texts[j % 2]) for j in range(6)]
+    table = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id long, text string").repartition(5)
+    assert sorted(r.doc_id for r in simhash.keep_one(table).collect()) == brute_near(rows)
+
+
+def test_near_copies_write_far_less_than_the_texts(spark, monkeypatch):
+    rng, sizes = np.random.default_rng(16), []
+
+    def written(df, name):
+        out = common.written(df, name)
+        sizes.append(sum(p.stat().st_size for p in Path(out._written).rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(simhash, "written", written)
+    texts = [" ".join(map(str, rng.integers(10**6, size=2500))) for _ in range(400)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.keep_one(table).count() == 400
+    assert sum(sizes) < 0.25 * sum(map(len, texts)), "sets of shingles are made for unsure pairs alone"
+
+
 # Decontamination
 
 
@@ -331,6 +359,21 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
     assert sorted(map(repr, decontaminate.op9(docs, bench).select("doc_id", "n_words", "n_hit").collect())) == sorted(map(repr, rows_))
 
 
+def test_index_positions_take_two_bytes_unless_a_document_is_longer(spark):
+    rng = np.random.default_rng(17)
+    vocabulary = [f"w{i}" for i in range(300)]
+    text = lambda n: " ".join(rng.choice(vocabulary, size=n))
+    rows = [(i, text(3000)) for i in range(50)] + [(50, text(70_000)), (51, text(20)), (52, "a " * 65_535), (53, "a " * 65_536), (54, None)]
+    items = [(i, " ".join(rows[i][1].split()[-12:])) for i in (0, 20, 21, 22, 49, 50, 51)] + [(60, "a " * 10), (61, rows[50][1].split()[66_000] + " w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.n_words, sum(s.stop - s.start for s in r.spans), tuple(r["items"])) for r in decontaminate.matches(docs, bench).collect()]
+    assert sorted(got, key=repr) == brute_windows(rows, items)
+    blocks = [(sum(r.n_words), len(r.n_words), len(r.positions)) for r in decontaminate.build_index(docs).collect()]
+    assert sum(n for n, _, _ in blocks) == sum(len((t or "").split()) for _, t in rows)
+    assert all(size == (2 if n + gaps <= 1 << 16 else 4) * n and (gaps == 1 or n + gaps <= 1 << 16) for n, gaps, size in blocks)
+
+
 # Toxicity
 
 
