@@ -419,6 +419,37 @@ def test_encoder_equals_the_tokenizer():
     assert [t for t, a, b in zip(texts, got, want) if a != b] == []
 
 
+def test_chunks_merged_together_equal_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, own = Tokenizer.from_file(path), packing.Encoder(path)
+    rng = np.random.default_rng(2)
+    letters = list("etaoinshrdluETA")
+    signs = list("etaoinsvmlrd019.,!$-</w>\x00\x1c\x1f\x7f\t\x0b\x0c\r" + 6 * "'") + ["é", "è", "ß", "中", "’", "٣", "\u0301", "\u0085", "\u00a0"]
+    asc = [c for c in signs if c.isascii()] + ["é", "è"]
+    texts = [" ".join("".join(rng.choice(some, size=rng.integers(0, 40) if long else rng.integers(0, 9))) for _ in range(30)) for some in (letters, signs, asc) for long in (0, 1) for _ in range(170)]
+    texts += ["aaaa" * n for n in range(12)] + ["don't l'homme d'squelette it's!'s 's '' we'll'", "the</w>the <|startoftext|>THE"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    got = [np.frombuffer(b, dtype="<u4").tolist() for b in own.batch([t.encode() for t in texts])]
+    assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
+def test_frequent_chunks_stay_cached():
+    import public_tokenizers
+
+    own = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), cache_chunks=4000)
+    learnt, learn = Counter(), own.learn
+    own.learn = lambda missing: (learnt.update(missing), learn(missing))
+    rng = np.random.default_rng(3)
+    common = words(rng, 100).split()
+    for _ in range(40):  # each batch has the common words and 500 others
+        list(own.batch([" ".join([*common, *words(rng, 500).split()]).encode()]))
+        assert len(own.cache) <= 4000
+    assert max(learnt[w.encode()] for w in common) == 1
+
+
 # Odd tables
 
 
